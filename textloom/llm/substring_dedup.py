@@ -13,8 +13,8 @@ consecutive doc_ids, and two exchanges of hashes:
    occurrence, so bare hashes confirm recurring windows and their first place.
 3. In each bucket, confirmed passages are cut into tiles of ``TILE`` words,
    compiled into sharded Aho-Corasick automata over word numbers, and all its
-   documents stream through them.  Each hit is extended word by word against
-   the passage, so removals rest on words, not only on hashes.
+   documents stream through them.  Windows around a hit are compared word by
+   word with the bucket's first of their hash before they count.
 
 A passage in a third of all documents costs each bucket one hash, so no task
 sees more than its own documents and its share of distinct hashes.
@@ -38,7 +38,7 @@ from textloom.llm import common as C
 
 WINDOW, PHRASE, TILE = 20, 12, 10
 #: Tiles in one automaton; more make further automata.
-SHARD = 40_000
+SHARD = 150_000
 #: Words hashed at once.
 CHUNK = 1_000_000
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,length:int>>"
@@ -215,40 +215,33 @@ def _automata(numbers, tiles):
 def _located(numbers, starts, lengths, recurring):
     """Windows that equal a recurring one, by streaming all documents through the automata.
 
-    recurring: windows whose hash is confirmed, of which ``first`` ones (lowest
-    place of each hash) form the passages.  Returns, for each window found, the
-    place of the passage's window that it equals.
+    recurring: places of the windows whose hash is confirmed, and the hashes.
+    The first window of each hash is part of a passage; tiles of all passages
+    make the dictionary.  A window is compared word by word with the first of
+    its hash when a tile is hit inside it, and every window holds a whole tile
+    of the passage that it belongs to.  Returns, for each window found, the
+    place of that first window, else -1.
     """
-    n = len(numbers) - WINDOW + 1
-    refers = np.full(max(n, 0), -1, np.int64)
     at, hashes = recurring
-    _, first = np.unique(hashes, return_index=True)
-    passage = np.zeros(max(n, 0), bool)
-    passage[at[first]] = True
-    run = np.flatnonzero(passage & ~np.concatenate(([False], passage[:-1])))
-    stop = np.flatnonzero(passage & ~np.concatenate((passage[1:], [False]))) + 1
-    tiles = np.concatenate([np.arange(a, b + WINDOW - TILE, TILE) for a, b in zip(run, stop, strict=True)]) if len(run) else np.zeros(0, np.int64)
-    tail = np.concatenate((numbers, np.full(2 * WINDOW, -1, numbers.dtype)))
-    back = WINDOW - TILE
-    doc_of = np.repeat(np.arange(len(lengths)), lengths)
+    n = max(len(numbers) - WINDOW + 1, 0)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    passage = np.zeros(n + 2, np.int8)
+    passage[at[first] + 1] = 1
+    edges = np.flatnonzero(np.diff(passage))
+    tiles = np.concatenate([np.arange(a, b + WINDOW - TILE, TILE) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
+    hit = np.zeros(len(numbers) + 1, np.int32)
     for machine in _automata(numbers, tiles):
-        hits, refs = [], []
         for s, size in zip(starts.tolist(), lengths.tolist(), strict=True):
-            if size < WINDOW:
-                continue
-            for end, p in machine.iter(tuple(numbers[s : s + size].tolist())):
-                hits.append(s + end - TILE + 1)
-                refs.append(p)
-        hits, refs = np.array(hits, np.int64), np.array(refs, np.int64)
-        for cut in range(0, len(hits), 200_000):
-            h, r = hits[cut : cut + 200_000], refs[cut : cut + 200_000]
-            span = np.arange(-back, WINDOW)
-            same = tail[np.maximum(h[:, None] + span, -1)] == tail[np.maximum(r[:, None] + span, -1)]
-            for j in range(back + 1):  # the window that starts ``back - j`` words before the tile
-                w, v = h - back + j, r - back + j
-                ok = (w >= 0) & (v >= 0) & (w < n) & (v < n)
-                ok[ok] = passage[v[ok]] & same[ok, j : j + WINDOW].all(1) & (doc_of[w[ok]] == doc_of[np.minimum(w[ok] + WINDOW - 1, len(doc_of) - 1)])
-                refers[w[ok]] = v[ok]
+            if size >= WINDOW and (ends := [end for end, _ in machine.iter(tuple(numbers[s : s + size].tolist()))]):
+                hit[np.array(ends) + (s - TILE + 1)] = 1
+    inside = np.concatenate(([0], np.cumsum(hit)))  # windows from p - 10 to p hold a tile at p
+    held = inside[at + WINDOW - TILE + 1] > inside[at]
+    at, ref = at[held], at[first][which[held]]
+    refers, span = np.full(n, -1, np.int64), np.arange(WINDOW)
+    for cut in range(0, len(at), 100_000):
+        w, v = at[cut : cut + 100_000], ref[cut : cut + 100_000]
+        same = (numbers[w[:, None] + span] == numbers[v[:, None] + span]).all(1)
+        refers[w[same]] = v[same]
     return refers
 
 
