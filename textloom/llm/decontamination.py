@@ -20,6 +20,8 @@ tokens.  Repeated items and documents each give their rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -117,33 +119,34 @@ def _verified(items: Items, words, lengths):
                 yield d, int(items.ids[item[g]]), int(max(start[g] - begin[d], 0)), int(matched[g]), int(size[g]), int(total[g, -1])
 
 
+def _found(items: Items, texts: list, cache: Tokens) -> list[tuple]:
+    """(place of the text, item, start, matched, window, overlap), the best alignment of each pair."""
+    out, part, first, size = [], [], 0, 0
+
+    def flush():
+        best = {}
+        for d, item, start, matched, window, overlap in _verified(items, np.concatenate(part), np.array([len(x) for x in part])):
+            row = (-matched, -overlap, start, window)
+            best[d, item] = min(best.get((d, item), row), row)
+        out.extend((first + d, item, start, -m, window, -o) for (d, item), (m, o, start, window) in best.items())
+
+    for i, h in enumerate(C.hashed_words(texts, cache)):
+        part.append(h)
+        size += len(h)
+        if size >= CHUNK:
+            flush()
+            part, first, size = [], i + 1, 0
+    if part:
+        flush()
+    return sorted(out)
+
+
 def _matches(items):
     def run(batches):
         cache = Tokens()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            out, part, first = set(), [], 0
-
-            def flush(first, out=out):
-                if part:
-                    lengths = np.array([len(x) for x in part])
-                    best = {}
-                    for d, item, start, matched, window, overlap in _verified(items, np.concatenate(part), lengths):
-                        row = (-matched, -overlap, start, window)
-                        best[d, item] = min(best.get((d, item), row), row)
-                    out.update((first + d, item, start, -m, window, -o) for (d, item), (m, o, start, window) in best.items())
-                    part.clear()
-
-            size = 0
-            for i, h in enumerate(C.hashed_words(texts, cache)):
-                part.append(h)
-                size += len(h)
-                if size >= CHUNK:
-                    flush(first)
-                    first, size = i + 1, 0
-            flush(first)
-            rows = sorted(out)
-            if rows:
+            ids = batch.column(0)
+            if rows := _found(items, batch.column(1).to_pylist(), cache):
                 where, *rest = zip(*rows, strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], names=["doc_id", "item_id", "start", "matched", "window", "overlap"])
@@ -151,14 +154,37 @@ def _matches(items):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document row and item that overlap: the best window's matches and the equal tokens of the whole alignment."""
+def _parts(benchmark: DataFrame):
+    """The benchmark's items, about PART words at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // (6 * PART)) + 1
-    found = None
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # about PART words
-        matches = C.texts_of(docs).mapInArrow(_matches(Items([r["item_id"] for r in rows], [bytes(r["text"]) for r in rows])), SCHEMA)
-        found = found.unionAll(matches) if found is not None else matches
-    return found
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
+        yield Items([r["item_id"] for r in rows], [bytes(r["text"]) for r in rows])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document row and item that overlap: the best window's matches and the equal tokens of the whole alignment."""
+    return reduce(DataFrame.unionAll, [C.texts_of(docs).mapInArrow(_matches(items), SCHEMA) for items in _parts(benchmark)])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that no item contaminates."""
+
+    def judge_by(items):
+        def judge():
+            cache = Tokens()
+
+            def accepts(texts):
+                ok = np.ones(len(texts), bool)
+                ok[[row[0] for row in _found(items, texts, cache)]] = False
+                return ok
+
+            return accepts
+
+        return judge
+
+    for items in _parts(benchmark):
+        docs = C.filtered(docs, judge_by(items))
+    return docs

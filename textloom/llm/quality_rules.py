@@ -82,6 +82,30 @@ def measured(text: bytes | None, cache: C.WordHashes) -> tuple[int, ...]:
     return (len(words), int(chars.sum()), int(_SYMBOL[data].sum()), dup_lines, repeated, dup_line_chars, *inside_dups)
 
 
+def _verdicts(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and kept of rows of NAMES."""
+    col = dict(zip(NAMES, table.T, strict=True))
+    failed = (col["n_words"] < MIN_WORDS) | (100 * col["n_repeat_words"] > REPEAT_PERCENT * col["n_words"])
+    bad = col["dup_line_chars"] > LINES * col["word_chars"]
+    for n, limit in NGRAMS.items():
+        bad |= col[f"dup_{n}gram_chars"] > limit * col["word_chars"]
+    return failed, ~failed & ~bad
+
+
+def _table(texts: list, cache: C.WordHashes) -> np.ndarray:
+    return np.array([measured(t, cache) for t in texts], np.int64).reshape(-1, len(NAMES))
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep."""
+
+    def judge():
+        cache = C.WordHashes()
+        return lambda texts: _verdicts(_table(texts, cache))[1]
+
+    return C.filtered(docs, judge)
+
+
 def repetition_quality(docs: DataFrame) -> DataFrame:
     """Counts and verdict of each row of docs."""
 
@@ -89,12 +113,8 @@ def repetition_quality(docs: DataFrame) -> DataFrame:
         cache = C.WordHashes()
         for batch in batches:
             ids, texts = C.columns(batch, "doc_id", "text")
-            table = np.array([measured(t, cache) for t in texts.to_pylist()], np.int64).reshape(-1, len(NAMES))
-            col = dict(zip(NAMES, table.T, strict=True))
-            failed = (col["n_words"] < MIN_WORDS) | (100 * col["n_repeat_words"] > REPEAT_PERCENT * col["n_words"])
-            bad = col["dup_line_chars"] > LINES * col["word_chars"]
-            for n, limit in NGRAMS.items():
-                bad |= col[f"dup_{n}gram_chars"] > limit * col["word_chars"]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(col[c]) for c in NAMES), pa.array(failed), pa.array(~failed & ~bad)], names=["doc_id", *NAMES, "base_failed", "kept"])
+            table = _table(texts.to_pylist(), cache)
+            failed, kept = _verdicts(table)
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, table.T), pa.array(failed), pa.array(kept)], names=["doc_id", *NAMES, "base_failed", "kept"])
 
     return C.texts_of(docs).mapInArrow(run, SCHEMA)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import hilbert_sharding, quality_rules, simhash, substring_dedup, url_filters
+from textloom.llm import decontamination, hilbert_sharding, language_id, packing, quality_rules, simhash, sstable, substring_dedup, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_sharding.hilbert_shards(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -32,8 +41,32 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op8_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_table(_table(spark, sf_dir, "documents"), end_id=2)
+
+
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_hilbert_sharding, op5_simhash_near_dedup, op6_repetition_quality, op7_url_filter)}
+    found = (
+        op1_substring_dedup,
+        op2_hilbert_sharding,
+        op3_crf_toxicity,
+        op4_bm25_packing,
+        op5_simhash_near_dedup,
+        op6_repetition_quality,
+        op7_url_filter,
+        op8_sstable_shards,
+        op9_spaced_seed_decontamination,
+        op10_bigru_language,
+    )
+    return {f.__name__: f for f in found}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -32,6 +32,8 @@ from textloom.llm import common as C
 SEGMENTS, HOT, SEED = 16, 64, 42
 WIDTH = 64 // SEGMENTS
 LINKS = "a long, b long"
+#: Of similar_groups: band keys, least hashes in each, and least hashes in a sketch.
+BANDS, ROWS, SKETCH = 10, 4, 256
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -198,3 +200,71 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _sketched(shingle):
+    def run(batches):
+        cache = C.WordHashes()
+        salts = C.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            out = []
+            for text, h in zip(texts, C.hashed_words((t.lower() if t else t for t in texts), cache), strict=True):
+                if not len(h):
+                    out.append((0, 0, [0], b""))
+                    continue
+                grams = np.unique(C.Rolling(h)(min(shingle, len(h))))
+                least = np.array([((grams ^ s) * np.uint64(C.MULT)).min() for s in salts]).reshape(BANDS, ROWS)
+                keys = C.mixed(C.Rolling(least.ravel()).raw(ROWS)[::ROWS] + np.arange(BANDS, dtype=np.uint64))
+                out.append((np.uint64(fingerprint(text, shingle)).astype(np.int64), len(grams), keys.view(np.int64).tolist(), (grams >> np.uint64(32))[:SKETCH].astype("<u4").tobytes()))
+            fp, n, keys, sketch = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "n", "keys", "sketch"])
+
+    return run
+
+
+def _alike(similarity):
+    """Pairs whose ring chains, Hamming distance and sketches say that they are as similar."""
+    most = int(np.ceil(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 3 * np.sqrt(64 * 0.15 * 0.85)))
+    chains = [(chain, chain * most // SEGMENTS) for chain in range(1, SEGMENTS)]
+
+    def run(batches):
+        for batch in batches:
+            a, b, fa, fb = (c.to_numpy() for c in batch.columns[:4])
+            x = (fa ^ fb).view(np.uint64)
+            ring = np.zeros(len(x), bool)
+            for turn in range(SEGMENTS):
+                ok, y = np.ones(len(x), bool), _rotated(x, turn)
+                for chain, budget in chains:
+                    ok &= np.bitwise_count(y & np.uint64(C.MASK >> (64 - chain * WIDTH))) <= budget
+                ring |= ok
+            ring &= np.bitwise_count(x) <= most
+            keep = []
+            for i in np.flatnonzero(ring).tolist():
+                p, q = (np.frombuffer(batch.column(c)[i].as_py(), "<u4") for c in (4, 5))
+                union = np.union1d(p, q)[:SKETCH]
+                both = np.intersect1d(p, q)
+                if np.isin(union, both).sum() >= similarity * len(union):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (least doc_id of its group) of documents that have a near copy.
+
+    For similarities whose fingerprints differ in more bits than an equal chain
+    can index: BANDS keys of ROWS least shingle hashes find candidates, each
+    document against the least of its band, so a group costs its size.  A pair
+    must pass the ring's chains and the Hamming distance that the similarity
+    allows, then reach the similarity on sketches of the SKETCH least shingle
+    hashes (exact for texts of so many shingles).  Null doc_ids are in no group.
+    """
+    sketches = C.written(C.texts_of(docs).where("doc_id IS NOT NULL").mapInArrow(_sketched(shingle), "doc_id long, fp long, n long, keys array<long>, sketch binary"), "sketches")
+    keys = sketches.select("doc_id", F.explode("keys").alias("key"))
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
+    pairs = keys.join(least, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    left, right = (sketches.groupBy(F.col("doc_id").alias(c)).agg(F.first("fp").alias(f"f{c}"), F.first("sketch").alias(f"s{c}")) for c in "ab")
+    alike = pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb", "sa", "sb").mapInArrow(_alike(similarity), LINKS)
+    return components(alike).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))

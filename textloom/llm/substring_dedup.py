@@ -31,6 +31,7 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ WINDOW, PHRASE, TILE = 20, 12, 10
 SHARD = 150_000
 #: Words hashed at once.
 CHUNK = 1_000_000
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,length:int>>"
+SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, text_hash long, kept_text string, spans array<struct<start:int,length:int>>"
 
 
 def _streams(ids, texts, cache):
@@ -284,7 +285,7 @@ def _cleaned(with_text):
                 spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
             else:
                 kept = b" ".join(own)
-            out.append((None if ids[i] == C.NO_ID else int(ids[i]), size, n_removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None, spans if with_text else None))
+            out.append((None if ids[i] == C.NO_ID else int(ids[i]), size, n_removed, hashlib.sha256(kept).hexdigest(), _signed(xxhash.xxh64_intdigest(texts[i] or b"", 42)), kept.decode("utf-8", "replace") if with_text else None, spans if with_text else None))
             if len(out) >= 2000:
                 yield _rows(out)
                 out = []
@@ -294,14 +295,18 @@ def _cleaned(with_text):
     return run
 
 
+def _signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _rows(out):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
-    names = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
+    names = ("doc_id", "n_words", "n_removed", "kept_sha256", "text_hash", "kept_text", "spans")
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
 
 
 def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with_text, the kept text and the removed spans of words."""
+    """Per row of docs: doc_id, n_words, n_removed, kept_sha256, text_hash (Spark's xxhash64 of the text, "" for null) and, with_text, the kept text and the removed spans of words."""
     spark = docs.sparkSession
     n = C.buckets(spark)
     texts = C.texts_of(docs)
