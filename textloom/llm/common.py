@@ -8,6 +8,8 @@ shuffle partitions, so a bucket's size does not depend on the size of the data.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = "k int, v binary"
+ROWS_A_BATCH = 1500
 #: Stands for a null doc_id while rows are ordered; null ids come last.
 NO_ID = np.iinfo(np.int64).max
 MULT = 0x9E3779B97F4A7C15
@@ -48,6 +51,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS_A_BATCH rows where the session still has Spark's default of 10,000: a worker holds whole batches of texts."""
+    if (key := "spark.sql.execution.arrow.maxRecordsPerBatch") and spark.conf.get(key) == "10000":
+        spark.conf.set(key, ROWS_A_BATCH)
+
+
+def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; a task's end gives freed memory back to the system, as its worker lives on beside others."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with small batches, tidied."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: tidied(run(batches)), schema)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and the text's bytes; nothing else leaves the scan."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -63,7 +86,7 @@ def filtered(docs: DataFrame, judge) -> DataFrame:
             texts = batch.column(place).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array(accepts(texts), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> list:
@@ -115,7 +138,7 @@ def unsqueezed(block: bytes) -> tuple[np.ndarray, list]:
 class WordHashes(dict):
     """64-bit hash of each word; forgets all when it holds ``limit`` words, so memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
@@ -126,6 +149,14 @@ class WordHashes(dict):
         return found
 
 
+_WORD_HASHES = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """This process's table of word hashes: workers are used again, and keep it."""
+    return _WORD_HASHES
+
+
 def hashed_words(texts: Iterable, cache: WordHashes) -> Iterator[np.ndarray]:
     """Word hashes of each text. bytes.split() parts at exactly x20 and x09-x0D."""
     for text in texts:

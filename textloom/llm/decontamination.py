@@ -166,7 +166,7 @@ def _parts(benchmark: DataFrame):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document row and item that overlap: the best window's matches and the equal tokens of the whole alignment."""
-    return reduce(DataFrame.unionAll, [C.texts_of(docs).mapInArrow(_matches(items), SCHEMA) for items in _parts(benchmark)])
+    return reduce(DataFrame.unionAll, [C.mapped(C.texts_of(docs), _matches(items), SCHEMA) for items in _parts(benchmark)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

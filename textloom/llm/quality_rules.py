@@ -100,7 +100,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that the rules keep."""
 
     def judge():
-        cache = C.WordHashes()
+        cache = C.word_hashes()
         return lambda texts: _verdicts(_table(texts, cache))[1]
 
     return C.filtered(docs, judge)
@@ -110,11 +110,11 @@ def repetition_quality(docs: DataFrame) -> DataFrame:
     """Counts and verdict of each row of docs."""
 
     def run(batches):
-        cache = C.WordHashes()
+        cache = C.word_hashes()
         for batch in batches:
             ids, texts = C.columns(batch, "doc_id", "text")
             table = _table(texts.to_pylist(), cache)
             failed, kept = _verdicts(table)
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, table.T), pa.array(failed), pa.array(kept)], names=["doc_id", *NAMES, "base_failed", "kept"])
 
-    return C.texts_of(docs).mapInArrow(run, SCHEMA)
+    return C.mapped(C.texts_of(docs), run, SCHEMA)

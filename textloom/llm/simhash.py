@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in texts.to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.array(fps)], names=["doc_id", "fp"])
 
-    return C.texts_of(docs).mapInArrow(run, "doc_id long, fp long")
+    return C.mapped(C.texts_of(docs), run, "doc_id long, fp long")
 
 
 def _rotated(x: np.ndarray, segment: int) -> np.ndarray:
@@ -261,10 +261,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     allows, then reach the similarity on sketches of the SKETCH least shingle
     hashes (exact for texts of so many shingles).  Null doc_ids are in no group.
     """
-    sketches = C.written(C.texts_of(docs).where("doc_id IS NOT NULL").mapInArrow(_sketched(shingle), "doc_id long, fp long, n long, keys array<long>, sketch binary"), "sketches")
+    sketches = C.written(C.mapped(C.texts_of(docs).where("doc_id IS NOT NULL"), _sketched(shingle), "doc_id long, fp long, n long, keys array<long>, sketch binary"), "sketches")
     keys = sketches.select("doc_id", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
     pairs = keys.join(least, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     left, right = (sketches.groupBy(F.col("doc_id").alias(c)).agg(F.first("fp").alias(f"f{c}"), F.first("sketch").alias(f"s{c}")) for c in "ab")
-    alike = pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb", "sa", "sb").mapInArrow(_alike(similarity), LINKS)
-    return components(alike).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb", "sa", "sb")
+    return components(C.mapped(joined, _alike(similarity), LINKS)).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))

@@ -238,7 +238,7 @@ def scores(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataFrame:
                 held = pa.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == 0 for i in ids.to_pylist()])
                 yield pa.RecordBatch.from_arrays([ids, held, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
-    return C.texts_of(docs).mapInArrow(run, SCHEMA)
+    return C.mapped(C.texts_of(docs), run, SCHEMA)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
