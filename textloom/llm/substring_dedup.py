@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from textloom.llm import common as C
 
 WINDOW, PHRASE, TILE = 20, 12, 10
-#: Tiles in one automaton; more make further automata.
-SHARD = 150_000
-#: Words hashed at once.
-CHUNK = 1_000_000
+#: Tiles in one automaton; more make further automata.  Letters of 7 bits for a word number.
+SHARD, DIGITS = 100_000, 4
+#: Words hashed at once, anchors sent at once; bytes of text sent at once.
+CHUNK, BLOCK = 400_000, 16_000_000
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, text_hash long, kept_text string, spans array<struct<start:int,length:int>>"
 
 
@@ -85,11 +85,18 @@ ANCHOR = np.dtype([("h", "<u8"), ("b", "<u4")])
 
 
 def _send_anchors(bounds, n):
+    def block(found):
+        rows = np.concatenate(found)
+        rows = rows[np.argsort(rows["h"], kind="stable")]
+        third = np.zeros(len(rows), bool)  # of equal rows two say as much as more
+        third[2:] = rows[2:] == rows[:-2]
+        rows = rows[~third]
+        return C.dealt(((rows["h"] >> np.uint64(33)) % np.uint64(n)).astype(np.int32), rows)
+
     def run(batches):
-        cache = C.WordHashes()
+        cache, found = C.word_hashes(), []
         for batch in batches:
             ids, texts = C.ids_and_texts(batch)
-            found = []
             for words, lengths, first in _streams(ids, texts, cache):
                 if (w := _windows(words, lengths)) is None:
                     continue
@@ -99,12 +106,11 @@ def _send_anchors(bounds, n):
                 rows = np.empty(len(at), ANCHOR)
                 rows["h"], rows["b"] = phrase[at], home
                 found.append(rows)
-            if found:
-                rows = np.sort(np.concatenate(found), order=("h", "b"))
-                third = np.zeros(len(rows), bool)  # of equal rows two say as much as more
-                third[2:] = rows[2:] == rows[:-2]
-                rows = rows[~third]
-                yield C.dealt(((rows["h"] >> np.uint64(33)) % np.uint64(n)).astype(np.int32), rows)
+            if sum(map(len, found)) >= CHUNK:
+                yield block(found)
+                found = []
+        if found:
+            yield block(found)
 
     return run
 
@@ -121,13 +127,25 @@ def _recurring_anchors(batches):
 
 
 def _send_texts(bounds):
+    def blocks(ids, texts):
+        ids = np.concatenate(ids)
+        home = _bucket_of(ids, bounds)
+        for k in np.unique(home).tolist():
+            at = np.flatnonzero(home == k)
+            yield C.packed([k], [b"T" + C.squeezed(ids[at], [texts[i] for i in at.tolist()])])
+
     def run(batches):
+        ids, texts, size = [], [], 0
         for batch in batches:
-            ids, texts = C.ids_and_texts(batch)
-            home = _bucket_of(ids, bounds)
-            for k in np.unique(home).tolist():
-                at = np.flatnonzero(home == k)
-                yield C.packed([k], [b"T" + C.squeezed(ids[at], [texts[i] for i in at.tolist()])])
+            i, t = C.ids_and_texts(batch)
+            ids.append(i)
+            texts += t
+            size += batch.nbytes
+            if size >= BLOCK:
+                yield from blocks(ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield from blocks(ids, texts)
 
     return run
 
@@ -162,7 +180,7 @@ def _send_windows(n):
 
     def run(batches):
         key, ids, texts, sent = _received(batches)
-        anchors, found, cache = sent.get(b"A", np.zeros(0, np.uint64)), [], C.WordHashes()
+        anchors, found, cache = sent.get(b"A", np.zeros(0, np.uint64)), [], C.word_hashes()
         for words, lengths, first in _streams(ids, texts, cache):
             if (w := _windows(words, lengths)) is None:
                 continue
@@ -170,15 +188,18 @@ def _send_windows(n):
             maybe = np.flatnonzero(valid)
             maybe = maybe[C.isin_sorted(least[maybe], anchors)]
             place = np.repeat(np.stack([ids[first : first + len(lengths)], np.cumsum(lengths) - lengths], 1), lengths, 0)[maybe]
-            rows = np.empty(len(maybe), [("h", "<u8"), ("d", "<i8"), ("s", "<i8")])
-            rows["h"], rows["d"], rows["s"] = C.mixed(roll.raw(WINDOW)[maybe]), place[:, 0], maybe - place[:, 1]
-            found.append(rows)
+            found.append((C.mixed(roll.raw(WINDOW)[maybe]), place[:, 0], maybe - place[:, 1]))
         if found:
-            rows = np.unique(np.concatenate(found))  # the same place twice counts once
-            third = np.zeros(len(rows), bool)
-            third[2:] = rows["h"][2:] == rows["h"][:-2]
+            h, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((start, doc, h))
+            h, doc, start = h[order], doc[order], start[order]
+            again = np.zeros(len(h), bool)  # the same place twice counts once
+            again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+            h = h[~again]
+            third = np.zeros(len(h), bool)
+            third[2:] = h[2:] == h[:-2]
             out = np.empty(int((~third).sum()), ANCHOR)
-            out["h"], out["b"] = rows["h"][~third], key
+            out["h"], out["b"] = h[~third], key
             yield C.dealt(((out["h"] >> np.uint64(33)) % np.uint64(n)).astype(np.int32), out)
 
     return run
@@ -187,7 +208,7 @@ def _send_windows(n):
 def _confirmed_windows(batches):
     """To each bucket, its recurring windows: F where it is the lowest that holds one, else L."""
     rows = C.gathered(batches, ANCHOR)
-    rows = rows[np.argsort(rows, order=("h", "b"))]
+    rows = rows[np.lexsort((rows["b"], rows["h"]))]
     if not len(rows):
         return
     new = np.concatenate(([True], rows["h"][1:] != rows["h"][:-1]))
@@ -201,14 +222,22 @@ def _confirmed_windows(batches):
             yield from _tagged(tag)([C.dealt(rows["b"][keep].astype(np.int32), rows["h"][keep])])
 
 
-def _automata(numbers, tiles):
+def _letters(numbers: np.ndarray) -> np.ndarray:
+    """Word numbers as DIGITS letters each, of another alphabet at each place: no node has many children, and matches keep to words."""
+    places = np.arange(DIGITS, dtype=np.uint32)
+    return ((numbers[:, None].astype(np.uint32) >> (7 * places)) & 127) + ((places + 1) << 8)
+
+
+def _text(letters: np.ndarray) -> str:
+    return letters.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _automata(letters, tiles):
     """Automata over word numbers; a tile's value is its place in the stream."""
     for at in range(0, len(tiles), SHARD):
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in tiles[at : at + SHARD].tolist():
-            key = tuple(numbers[p : p + TILE].tolist())
-            if key not in machine:
-                machine.add_word(key, p)
+            machine.add_word(_text(letters[p : p + TILE]), p)
         machine.make_automaton()
         yield machine
 
@@ -231,10 +260,11 @@ def _located(numbers, starts, lengths, recurring):
     edges = np.flatnonzero(np.diff(passage))
     tiles = np.concatenate([np.arange(a, b + WINDOW - TILE, TILE) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
     hit = np.zeros(len(numbers) + 1, np.int32)
-    for machine in _automata(numbers, tiles):
+    letters = _letters(numbers)
+    for machine in _automata(letters, tiles):
         for s, size in zip(starts.tolist(), lengths.tolist(), strict=True):
-            if size >= WINDOW and (ends := [end for end, _ in machine.iter(tuple(numbers[s : s + size].tolist()))]):
-                hit[np.array(ends) + (s - TILE + 1)] = 1
+            if size >= WINDOW and (ends := [end for end, _ in machine.iter(_text(letters[s : s + size]))]):
+                hit[np.array(ends) // DIGITS + (s - TILE + 1)] = 1
     inside = np.concatenate(([0], np.cumsum(hit)))  # windows from p - 10 to p hold a tile at p
     held = inside[at + WINDOW - TILE + 1] > inside[at]
     at, ref = at[held], at[first][which[held]]
@@ -250,10 +280,10 @@ def _cleaned(with_text):
     def run(batches):
         key, ids, texts, sent = _received(batches)
         firsts, laters = (sent.get(t, np.zeros(0, np.uint64)) for t in (b"F", b"L"))
-        cache, parts = C.WordHashes(), list(C.hashed_words(texts, C.WordHashes()))
+        parts = list(C.hashed_words(texts, C.word_hashes()))
         lengths = np.array([len(x) for x in parts], np.int64)
         words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        del parts, cache
+        del parts
         starts = np.cumsum(lengths) - lengths
         removed = np.zeros(len(words), bool)
         if len(words) >= WINDOW and len(firsts) + len(laters):
@@ -312,9 +342,9 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     texts = C.texts_of(docs)
     cuts = texts.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("c")).first()["c"] if n > 1 else []
     bounds = np.array(sorted(cuts or []), np.int64)
-    sent = texts.mapInArrow(_send_anchors(bounds, n), C.PACKED).repartitionById(n, F.col("k"))
+    sent = C.mapped(texts, _send_anchors(bounds, n), C.PACKED).repartitionById(n, F.col("k"))
     anchors = sent.mapInArrow(_recurring_anchors, C.PACKED).mapInArrow(_tagged(b"A"), C.PACKED)
-    packed = texts.mapInArrow(_send_texts(bounds), C.PACKED)
-    windows = packed.unionAll(anchors).repartitionById(n, F.col("k")).mapInArrow(_send_windows(n), C.PACKED)
+    packed = C.mapped(texts, _send_texts(bounds), C.PACKED)
+    windows = C.mapped(packed.unionAll(anchors).repartitionById(n, F.col("k")), _send_windows(n), C.PACKED)
     marks = windows.repartitionById(n, F.col("k")).mapInArrow(_confirmed_windows, C.PACKED)
-    return packed.unionAll(marks).repartitionById(n, F.col("k")).mapInArrow(_cleaned(with_text), SCHEMA)
+    return C.mapped(packed.unionAll(marks).repartitionById(n, F.col("k")), _cleaned(with_text), SCHEMA)
