@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.llm.tokens import Encoder, default_path
+from textloom.llm.tokens import default_path, encoder
 
 WINDOW, TERMS, K1, B = 1024, 24, 1.2, 0.75
 #: Terms in a larger part of a shard's documents have no postings there.
@@ -46,15 +46,15 @@ def _key(ids: np.ndarray) -> int:
 
 def _encoded(tokenizer, end_id):
     def run(batches):
-        encoder = df = None
+        df = None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
-            df = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64) if df is None else df
-            end = np.array([end_id], encoder.dtype).tobytes()
+            coder = encoder(tokenizer)
+            df = np.zeros(max(coder.size, end_id + 1), np.int64) if df is None else df
+            end = np.array([end_id], coder.dtype).tobytes()
             keys, sizes, blobs = [], [], []
             for text in batch.column(1):
-                blob = encoder.encode(text.as_py()) + end
-                ids = np.frombuffer(blob, encoder.dtype)
+                blob = coder.encode(text.as_py()) + end
+                ids = np.frombuffer(blob, coder.dtype)
                 df[np.unique(ids)] += 1
                 keys.append(_key(ids))
                 sizes.append(len(ids))
@@ -190,9 +190,9 @@ def _rows(out):
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of all rows of docs: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, the ids."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_path()
-    shards, dtype = C.buckets(spark), Encoder(tokenizer).dtype
+    shards, dtype = C.buckets(spark), encoder(tokenizer).dtype
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = C.written(rows.mapInArrow(_encoded(tokenizer, end_id), ENCODED), "encoded")
+    encoded = C.written(C.mapped(rows, _encoded(tokenizer, end_id), ENCODED), "encoded")
     texts = encoded.where("ids IS NOT NULL")
     cuts = texts.agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], max(10_000, 10 * shards)).alias("c"), F.count("*").alias("n")).first() if shards > 1 else texts.agg(F.lit(None).alias("c"), F.count("*").alias("n")).first()
     counts = encoded.where("df IS NOT NULL").select(F.posexplode("df").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most one row for each id of the vocabulary
@@ -201,5 +201,5 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer: str
         df[r["term"]] = r["n"]
     idf = np.log1p((cuts["n"] - df + 0.5) / (df + 0.5)).astype(np.float32)
     bounds = np.array(sorted(cuts["c"] or []), np.int64)
-    sent = texts.select("doc_id", "key", "ids").mapInArrow(_sent(bounds, shards), C.PACKED).repartitionById(shards, F.col("k"))
-    return sent.mapInArrow(_packed(idf, window, dtype, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    sent = C.mapped(texts.select("doc_id", "key", "ids"), _sent(bounds, shards), C.PACKED).repartitionById(shards, F.col("k"))
+    return C.mapped(sent, _packed(idf, window, dtype, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.llm.tokens import Encoder, default_path
+from textloom.llm.tokens import default_path, encoder
 
 MAGIC, BLOCK, BITS_A_KEY, PROBES = b"SST1", 1 << 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQIB3x4s")
@@ -186,16 +186,16 @@ def write_shards(docs: DataFrame, out_dir: str, end_id: int = 2, tokenizer: str
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         path = f"{root}/{part:06d}-{uuid.uuid4().hex}.sst"
-        encoder = writer = None
+        writer = None
         last, row = b"", 0
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
-            writer = writer or Writer(store.open_output_stream(path, compression=None), encoder.dtype.itemsize)
-            end = np.array([end_id], encoder.dtype).tobytes()
+            coder = encoder(tokenizer)
+            writer = writer or Writer(store.open_output_stream(path, compression=None), coder.dtype.itemsize)
+            end = np.array([end_id], coder.dtype).tobytes()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 row = row + 1 if last == key_of(doc_id) else 0
                 last = key_of(doc_id)
-                writer.add(key_of(doc_id, row), encoder.encode(text.as_py()) + end)
+                writer.add(key_of(doc_id, row), coder.encode(text.as_py()) + end)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]})
@@ -203,7 +203,7 @@ def write_shards(docs: DataFrame, out_dir: str, end_id: int = 2, tokenizer: str
     order = F.col("doc_id").asc_nulls_last()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = rows.repartitionByRange(C.buckets(docs.sparkSession), order).sortWithinPartitions(order, "text")
-    return C.written(placed.mapInArrow(run, FILES), "shard-files")
+    return C.written(C.mapped(placed, run, FILES), "shard-files")
 
 
 def read_shards(files: DataFrame, out_dir: str) -> DataFrame:
