@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -33,6 +34,8 @@ from textloom.llm import common as C
 SAMPLE, FOLDS, HELD = 3000, 4, 2
 HIDDEN, PIECE, WORDS, BATCH, EPOCHS, RATE = 16, 48, 12_000, 256, 6, 0.02
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
+#: This process's sums of words, by the model's key; workers are used again.
+_TABLES: dict[str, _Words] = {}
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -45,7 +48,7 @@ class BiGru:
 
     def __init__(self, langs: list[str], hidden: int = HIDDEN, seed: int = 1):
         r = np.random.default_rng(seed)
-        self.langs, self.hidden = langs, hidden
+        self.langs, self.hidden, self.key = langs, hidden, uuid.uuid4().hex
         self.w = {"out": r.normal(0, 0.3, (2 * hidden, len(langs))), "bias": np.zeros(len(langs))}
         for d in "fb":
             self.w[d + "x"] = r.normal(0, 0.3, (256, 3 * hidden))
@@ -178,6 +181,35 @@ def fitted(texts: list[bytes], langs: list[str], words: int = WORDS) -> BiGru |
     return BiGru(names).train(x, lengths, np.array([k for _, k in own]))
 
 
+class _Words:
+    """Sums of at most ``limit`` words and those of one batch; forgets all when more would come."""
+
+    def __init__(self, model: BiGru, limit: int = 300_000):
+        self.model, self.limit = model, limit
+        self.row, self.table = {}, np.zeros((0, len(model.langs) + 1), np.float32)
+
+    def add(self, parts: list[list[bytes]]) -> None:
+        new = list({w for ws in parts for w in ws if w not in self.row})
+        if len(self.row) + len(new) > self.limit and self.row:
+            self.__init__(self.model, self.limit)
+            new = list({w for ws in parts for w in ws})
+        size = len(self.row)
+        self.row.update(zip(new, range(size, size + len(new)), strict=True))
+        if size + len(new) > len(self.table):  # grows by half
+            self.table = np.concatenate([self.table, np.zeros((len(self.table) // 2 + len(new), self.table.shape[1]), np.float32)])
+        self.table[size : size + len(new)] = self.model.word_sums(new)
+
+    def total(self, words: list[bytes]) -> np.ndarray:
+        return self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
+
+
+def _words(model: BiGru) -> _Words:
+    if model.key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[model.key] = _Words(model)
+    return _TABLES[model.key]
+
+
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD
 
@@ -193,7 +225,7 @@ def predictions(docs: DataFrame, model: BiGru | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs."""
 
     def run(batches):
-        row, table = {}, np.zeros((0, 0))
+        words = _words(model) if model else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for cut in range(0, len(texts), 2000):
@@ -202,24 +234,18 @@ def predictions(docs: DataFrame, model: BiGru | None) -> DataFrame:
                 pred, score = ["und"] * len(own), np.zeros(len(own))
                 if model:
                     parts = [t.split() if t else [] for t in own]
-                    new = list({w for ws in parts for w in ws if w not in row})
-                    if len(row) + len(new) > 400_000 and row:
-                        row, table = {}, np.zeros((0, 0))
-                        new = list({w for ws in parts for w in ws})
-                    row.update(zip(new, range(len(row), len(row) + len(new)), strict=True))
-                    sums = model.word_sums(new)
-                    table = np.concatenate([table, sums]) if len(table) else sums
+                    words.add(parts)
                     for i, ws in enumerate(parts):
                         if not own[i] or not _LETTER.search(own[i].decode("utf-8", "replace")):
                             score[i] = 1.0
                             continue
-                        total = table[np.fromiter(map(row.__getitem__, ws), np.int64, len(ws))].sum(0)
+                        total = words.total(ws)
                         best = int(total[:-1].argmax())
                         pred[i], score[i] = model.langs[best], min(1.0, total[best] / total[-1])
                 held = pa.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD for i in ids.to_pylist()])
                 yield pa.RecordBatch.from_arrays([ids, held, pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return C.texts_of(docs).mapInArrow(run, SCHEMA)
+    return C.mapped(C.texts_of(docs), run, SCHEMA)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
