@@ -34,7 +34,11 @@ def corpus(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _found(spark, sf_dir, table, patterns, **options):
-    return search(corpus(spark, sf_dir, table), SearchSpec(patterns, types=CORPORA[table][1], **options))
+    spec = SearchSpec(patterns, types=CORPORA[table][1], **options)
+    rows = corpus(spark, sf_dir, table)
+    if spec.strategy in ("token", "semantic", "fuzzy") or spec.anchor != "infix":
+        rows = files.spread(rows)
+    return search(rows, spec)
 
 
 def _rows(table):

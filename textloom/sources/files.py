@@ -101,3 +101,9 @@ def patterns(spark: SparkSession, path: str) -> list[str]:
 def table(df: DataFrame, content: str, file_type: str, *keys: str) -> DataFrame:
     """Any table's text column as a corpus."""
     return df.select(*keys, F.lit(file_type).alias("file_type"), F.col(content).alias("content"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows to all cores when the scan has fewer splits than cores; lexing costs more than that exchange.  Larger corpora stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
