@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, out_dir: str, end_id: int = 2, tokenizer: str
         writer = None
         last, row = b"", 0
         for batch in batches:
-            coder = encoder(tokenizer)
+            coder = encoder(tokenizer, 600_000)
             writer = writer or Writer(store.open_output_stream(path, compression=None), coder.dtype.itemsize)
             end = np.array([end_id], coder.dtype).tobytes()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -112,8 +112,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder: workers are used again, and keep what they have cached."""
+def encoder(path: str, limit: int = 250_000) -> Encoder:
+    """This process's encoder: workers are used again, and keep what they have cached; the largest limit asked for holds."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path] = Encoder(path, limit)
+    found = _ENCODERS[path]
+    found.pieces.limit = max(found.pieces.limit, limit)
+    return found
