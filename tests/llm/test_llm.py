@@ -243,6 +243,47 @@ def test_similar_groups(spark, docs, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def _jaccard_components(texts, n=5, limit=0.8):
+    """Sets of places, by comparing all pairs on all shingles."""
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (t.lower().split() for t in texts)]
+    todo, found = set(range(len(sets))), set()
+    while todo:
+        own = new = {min(todo)}
+        while new:
+            todo -= new
+            new = {j for j in todo if any(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= limit for i in new)}
+            own = own | new
+        found.add(frozenset(own))
+    return found
+
+
+def _similar(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    by = collections.defaultdict(set)
+    for i in range(len(texts)):
+        by[label.get(i, i)].add(i)
+    return set(map(frozenset, by.values()))
+
+
+def test_graded_group_and_version_chain(spark):
+    """Copies edited each on its own, and versions each edited from the last: the least id is like few of them."""
+    r, base = random.Random(12), [f"w{i}" for i in range(300)]
+    texts, version = [], list(base)
+    for i in range(80):
+        copy = list(base)
+        for at in r.sample(range(300), 2 + i % 3):
+            copy[at] = f"c{i}x{at}"
+        texts.append(" ".join(copy))
+    for i in range(60):
+        version = list(version) if i else [f"v{i}" for i in range(300)]
+        for at in r.sample(range(300), 4):
+            version[at] = f"e{i}x{at}"
+        texts.append(" ".join(version))
+    r.shuffle(texts)
+    assert _similar(spark, texts) == _jaccard_components(texts)
+
+
 def test_quality(docs, none):
     for r in docs.join(quality_rules.repetition_quality(docs).withColumnRenamed("score", "q"), "doc_id").collect():
         w, text = words_of(r.text), r.text or ""

@@ -32,8 +32,8 @@ from textloom.llm import common as C
 SEGMENTS, HOT, SEED = 16, 64, 42
 WIDTH = 64 // SEGMENTS
 LINKS = "a long, b long"
-#: Of similar_groups: band keys, least hashes in each, and least hashes in a sketch.
-BANDS, ROWS, SKETCH = 10, 4, 256
+#: Of similar_rows: band keys, and least hashes in each.
+BANDS, ROWS = 10, 4
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -207,64 +207,118 @@ def _sketched(shingle):
         cache = C.WordHashes()
         salts = C.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            out = []
-            for text, h in zip(texts, C.hashed_words((t.lower() if t else t for t in texts), cache), strict=True):
+            texts, out = batch.column(1).to_pylist(), []
+            for h in C.hashed_words((t.lower() if t else t for t in texts), cache):
                 if not len(h):
-                    out.append((0, 0, [0], b""))
+                    out.append((0, [0], b""))
                     continue
                 grams = np.unique(C.Rolling(h)(min(shingle, len(h))))
                 least = np.array([((grams ^ s) * np.uint64(C.MULT)).min() for s in salts]).reshape(BANDS, ROWS)
                 keys = C.mixed(C.Rolling(least.ravel()).raw(ROWS)[::ROWS] + np.arange(BANDS, dtype=np.uint64))
-                out.append((np.uint64(fingerprint(text, shingle)).astype(np.int64), len(grams), keys.view(np.int64).tolist(), (grams >> np.uint64(32))[:SKETCH].astype("<u4").tobytes()))
-            fp, n, keys, sketch = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "n", "keys", "sketch"])
+                out.append((np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).astype(np.int64), keys.view(np.int64).tolist(), grams.tobytes()))
+            node, keys, shingles = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.binary())], names=["doc_id", "text_hash", "node", "keys", "shingles"])
 
     return run
 
 
-def _alike(similarity):
-    """Pairs whose ring chains, Hamming distance and sketches say that they are as similar."""
-    most = int(np.ceil(64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 3 * np.sqrt(64 * 0.15 * 0.85)))
-    chains = [(chain, chain * most // SEGMENTS) for chain in range(1, SEGMENTS)]
+def connected(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first member of each set's component; sets link at that Jaccard similarity of all their elements.
+
+    Each set reached looks for partners among the sets not reached yet.  Similar
+    sets share one of their few rarest elements (prefix filter), by which an
+    index finds them; then all elements decide.  The index is built anew
+    whenever half of its sets are reached.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    starts, owner = np.cumsum(n) - n, np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int32)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.int32)
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]
+    lead = n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
+    leading = np.arange(len(token)) - np.repeat(starts, n) < np.repeat(lead, n)
+    label, mine = np.full(len(sets), -1), np.zeros(len(often), np.int32)
+    left, built = len(sets), None
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first], left, todo = first, left - 1, [first]
+        while todo and left:
+            x = todo.pop()
+            if built is None or 2 * left < built:
+                some = np.flatnonzero(leading & (label < 0)[owner])
+                some, built = some[np.argsort(token[some], kind="stable")], left
+                at, who = np.concatenate(([0], np.cumsum(np.bincount(token[some], minlength=len(often))))), owner[some]
+            own = token[starts[x] : starts[x] + n[x]]
+            low, high = at[own[: lead[x]]], at[own[: lead[x]] + 1]
+            spans = [who[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b]
+            near = np.unique(np.concatenate(spans)) if spans else who[:0]
+            near = near[(label[near] < 0) & (np.minimum(n[near], n[x]) >= similarity * np.maximum(n[near], n[x]) - 1e-6)]
+            mine[own] = 1
+            for cut in range(0, len(near), 2000):
+                part = near[cut : cut + 2000]
+                theirs = mine[np.concatenate([token[a:b] for a, b in zip(starts[part].tolist(), (starts + n)[part].tolist(), strict=True)])]
+                both = np.add.reduceat(theirs, np.cumsum(n[part]) - n[part])
+                good = part[both / (n[part] + n[x] - both) >= similarity]
+                label[good] = first
+                left -= len(good)
+                todo += good.tolist()
+            mine[own] = 0
+    return label
+
+
+def _judged(similarity):
+    """Each root's nodes, which come together, to their components."""
+
+    def judge(nodes, sets):
+        label = connected(sets, similarity)
+        nodes = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
 
     def run(batches):
+        root, nodes, sets = None, [], []
         for batch in batches:
-            a, b, fa, fb = (c.to_numpy() for c in batch.columns[:4])
-            x = (fa ^ fb).view(np.uint64)
-            ring = np.zeros(len(x), bool)
-            for turn in range(SEGMENTS):
-                ok, y = np.ones(len(x), bool), _rotated(x, turn)
-                for chain, budget in chains:
-                    ok &= np.bitwise_count(y & np.uint64(C.MASK >> (64 - chain * WIDTH))) <= budget
-                ring |= ok
-            ring &= np.bitwise_count(x) <= most
-            keep = []
-            for i in np.flatnonzero(ring).tolist():
-                p, q = (np.frombuffer(batch.column(c)[i].as_py(), "<u4") for c in (4, 5))
-                union = np.union1d(p, q)[:SKETCH]
-                both = np.intersect1d(p, q)
-                if np.isin(union, both).sum() >= similarity * len(union):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            for r, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != root and nodes:
+                    yield judge(nodes, sets)
+                    nodes, sets = [], []
+                root = r
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(shingles, np.uint64))
+        if nodes:
+            yield judge(nodes, sets)
 
     return run
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id (least doc_id of its group) of documents that have a near copy.
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text) and root, equal in rows of one group, for each row of docs.
 
     For similarities whose fingerprints differ in more bits than an equal chain
-    can index: BANDS keys of ROWS least shingle hashes find candidates, each
-    document against the least of its band, so a group costs its size.  A pair
-    must pass the ring's chains and the Hamming distance that the similarity
-    allows, then reach the similarity on sketches of the SKETCH least shingle
-    hashes (exact for texts of so many shingles).  Null doc_ids are in no group.
+    can index.  Rows of equal shingle sets are one node.  BANDS keys of ROWS
+    least shingle hashes find candidates: nodes joined by shared keys, however
+    many, go to one task, which compares them all on their whole sets.  Null
+    and empty texts are one node.
     """
-    sketches = C.written(C.mapped(C.texts_of(docs).where("doc_id IS NOT NULL"), _sketched(shingle), "doc_id long, fp long, n long, keys array<long>, sketch binary"), "sketches")
-    keys = sketches.select("doc_id", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    pairs = keys.join(least, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    left, right = (sketches.groupBy(F.col("doc_id").alias(c)).agg(F.first("fp").alias(f"f{c}"), F.first("sketch").alias(f"s{c}")) for c in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb", "sa", "sb")
-    return components(C.mapped(joined, _alike(similarity), LINKS)).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+    n = C.buckets(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
+    sketches = C.written(C.mapped(texts, _sketched(shingle), "doc_id long, text_hash long, node long, keys array<long>, shingles binary"), "sketches")
+    keys = sketches.select("node", F.explode("keys").alias("key")).distinct()
+    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    met = components(keys.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct())
+    one = sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).join(met, "node").select(F.col("r.doc_id").alias("i"), F.col("r.text_hash").alias("h"), F.col("node").alias("x"), F.col("label").alias("root"))
+    one = C.written(one, "candidates")
+    same = sketches["doc_id"].eqNullSafe(one["i"]) & (sketches["text_hash"] == one["h"]) & (sketches["node"] == one["x"])
+    sets = sketches.join(one, same).select("root", "node", "shingles").repartition(n, "root").sortWithinPartitions("root", "node")
+    judged = C.mapped(sets, _judged(similarity), "node long, label long")
+    return C.written(sketches.select("doc_id", "text_hash", "node").join(judged, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root")), "groups")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (least doc_id of its group) of documents that have a near copy; null doc_ids are in no group."""
+    rows = similar_rows(docs.where("doc_id IS NOT NULL"), shingle, similarity)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("z")).where("component_id < z").select("root", "component_id")
+    return rows.join(least, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
