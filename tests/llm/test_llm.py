@@ -284,6 +284,20 @@ def test_graded_group_and_version_chain(spark):
     assert _similar(spark, texts) == _jaccard_components(texts)
 
 
+def test_long_texts_near_the_limit(spark):
+    """Pairs of 1500 words just over and just under the similarity: decided on all shingles, not on a sample."""
+    r, texts = random.Random(21), []
+    for i, edits in enumerate(range(28, 44)):
+        words = [f"p{i}w{j}" for j in range(1500)]
+        texts.append(" ".join(words))
+        for at in r.sample(range(0, 1490, 6), edits):
+            words[at] = f"p{i}e{at}"
+        texts.append(" ".join(words))
+    want = _jaccard_components(texts)
+    assert 16 < len(want) < 32
+    assert _similar(spark, texts) == want
+
+
 def test_quality(docs, none):
     for r in docs.join(quality_rules.repetition_quality(docs).withColumnRenamed("score", "q"), "doc_id").collect():
         w, text = words_of(r.text), r.text or ""
