@@ -381,6 +381,20 @@ def test_decontamination(spark, docs, none):
     assert decontamination.contaminated(none, bench).count() == 0
 
 
+def test_excerpt_of_a_long_item_among_short_documents(spark):
+    """The alignment starts in an earlier document that has an equal token, its middle and end lie in later ones."""
+    item = [f"i{j}" for j in range(500)]
+    texts = [" ".join([*(f"d{i}x{j}" for j in range(25)), "i20", *item[:60:3], *(f"d{i}y{j}" for j in range(14))]) for i in range(12)]
+    texts[5] = " ".join([*(f"q{j}" for j in range(5)), *item[150:200], *(f"r{j}" for j in range(5))])
+    alone = spark.createDataFrame([(5, texts[5])], "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = [tuple(r) for r in decontamination.contaminated(alone, bench).collect()]
+    assert [r[:2] for r in want] == [(5, 1)]
+    assert [tuple(r) for r in decontamination.contaminated(df, bench).collect()] == want
+    assert sorted(r.doc_id for r in decontamination.clean(df, bench).collect()) == [i for i in range(12) if i != 5]
+
+
 def test_language(spark, none):
     r = random.Random(4)
     kinds = {"aa": ["tha", "ing", "er", "wh"], "bb": ["ção", "eau", "ou", "que"]}

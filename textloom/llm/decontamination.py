@@ -76,8 +76,8 @@ class Items:
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(self.h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Alignments: item and the word at which its first token would stand."""
+    def hits(self, words: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Alignments: item, the word at which its first token would stand, and the document of the hit."""
         found = []
         for k, mask in enumerate(MASKS):
             h = _seeds(words, mask, k)
@@ -86,37 +86,31 @@ class Items:
             n = high - low
             p, low = np.repeat(p, n), np.repeat(low, n)
             place = low + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([self.item[place], p - self.at[place]]))
-        item, start = np.unique(np.concatenate(found, 1), axis=1)
-        return item, start
+            found.append(np.stack([self.item[place], p - self.at[place], doc_of[p]]))
+        item, start, doc = np.unique(np.concatenate(found, 1), axis=1)
+        return item, start, doc
 
 
 def _verified(items: Items, words, lengths):
     """(document, item, start in document, matched, window, overlap) of each contaminating alignment."""
     begin = np.cumsum(lengths) - lengths
     doc_of = np.repeat(np.arange(len(lengths)), lengths)
-    all_item, all_start = items.hits(words)
+    all_item, all_start, all_doc = items.hits(words, doc_of)
     for cut in range(0, len(all_item), 50_000):
-        item, start = all_item[cut : cut + 50_000], all_start[cut : cut + 50_000]
+        item, start, own = (x[cut : cut + 50_000] for x in (all_item, all_start, all_doc))
         span = np.arange(items.widest)
         place = start[:, None] + span
-        ok = (place >= 0) & (place < len(words)) & (span < items.sizes[item][:, None])
-        where = np.where(ok, place, 0)
-        same = ok & (words[where] == items.tokens[np.where(ok, items.starts[item][:, None] + span, 0)])
-        # tokens of other documents do not count: all must lie in the document of the alignment's first hit
-        first = np.argmax(same, 1)
-        home = doc_of[np.clip(start + first, 0, len(words) - 1)]
-        middle = np.clip(start + items.sizes[item] // 2, 0, len(words) - 1)
-        for own in (home, doc_of[middle], doc_of[np.clip(start + items.sizes[item] - 1, 0, len(words) - 1)]):
-            mine = same & (doc_of[where] == own[:, None])
-            total = np.concatenate([np.zeros((len(item), 1), np.int32), np.cumsum(mine, 1, dtype=np.int32)], 1)
-            size = np.minimum(WINDOW, items.sizes[item])
-            stop = np.minimum(span + size[:, None], items.sizes[item][:, None])
-            matched = (np.take_along_axis(total, stop, 1) - total[:, :-1]).max(1)
-            good = np.flatnonzero(matched >= SHARE * size)
-            for g in good.tolist():
-                d = int(own[g])
-                yield d, int(items.ids[item[g]]), int(max(start[g] - begin[d], 0)), int(matched[g]), int(size[g]), int(total[g, -1])
+        # tokens of other documents do not count: all must lie in the document of the seed's hit
+        ok = (place >= begin[own][:, None]) & (place < (begin + lengths)[own][:, None]) & (span < items.sizes[item][:, None])
+        same = ok & (words[np.where(ok, place, 0)] == items.tokens[np.where(ok, items.starts[item][:, None] + span, 0)])
+        total = np.concatenate([np.zeros((len(item), 1), np.int32), np.cumsum(same, 1, dtype=np.int32)], 1)
+        size = np.minimum(WINDOW, items.sizes[item])
+        stop = np.minimum(span + size[:, None], items.sizes[item][:, None])
+        matched = (np.take_along_axis(total, stop, 1) - total[:, :-1]).max(1)
+        good = np.flatnonzero(matched >= SHARE * size)
+        for g in good.tolist():
+            d = int(own[g])
+            yield d, int(items.ids[item[g]]), int(max(start[g] - begin[d], 0)), int(matched[g]), int(size[g]), int(total[g, -1])
 
 
 def _found(items: Items, texts: list, cache: Tokens) -> list[tuple]:
