@@ -202,6 +202,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _shingles(h: np.ndarray, shingle: int) -> np.ndarray:
+    """The set of a text's shingle hashes, from its word hashes."""
+    return np.unique(C.Rolling(h)(min(shingle, len(h)))) if len(h) else h
+
+
 def _sketched(shingle):
     def run(batches):
         cache = C.WordHashes()
@@ -210,14 +215,14 @@ def _sketched(shingle):
             texts, out = batch.column(1).to_pylist(), []
             for h in C.hashed_words((t.lower() if t else t for t in texts), cache):
                 if not len(h):
-                    out.append((0, [0], b""))
+                    out.append((0, [0]))
                     continue
-                grams = np.unique(C.Rolling(h)(min(shingle, len(h))))
+                grams = _shingles(h, shingle)
                 least = np.array([((grams ^ s) * np.uint64(C.MULT)).min() for s in salts]).reshape(BANDS, ROWS)
                 keys = C.mixed(C.Rolling(least.ravel()).raw(ROWS)[::ROWS] + np.arange(BANDS, dtype=np.uint64))
-                out.append((np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).astype(np.int64), keys.view(np.int64).tolist(), grams.tobytes()))
-            node, keys, shingles = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.binary())], names=["doc_id", "text_hash", "node", "keys", "shingles"])
+                out.append((np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).astype(np.int64), keys.view(np.int64).tolist()))
+            node, keys = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "keys"])
 
     return run
 
@@ -269,7 +274,7 @@ def connected(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
-def _judged(similarity):
+def _judged(shingle, similarity):
     """Each root's nodes, which come together, to their components."""
 
     def judge(nodes, sets):
@@ -278,16 +283,16 @@ def _judged(similarity):
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
 
     def run(batches):
-        root, nodes, sets = None, [], []
+        root, nodes, sets, cache = None, [], [], C.WordHashes()
         for batch in batches:
-            for r, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r != root and nodes:
                     yield judge(nodes, sets)
                     nodes, sets = [], []
                 root = r
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
-                    sets.append(np.frombuffer(shingles, np.uint64))
+                    sets.append(_shingles(*C.hashed_words([text.lower() if text else text], cache), shingle))
         if nodes:
             yield judge(nodes, sets)
 
@@ -305,15 +310,15 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """
     n = C.buckets(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
-    sketches = C.written(C.mapped(texts, _sketched(shingle), "doc_id long, text_hash long, node long, keys array<long>, shingles binary"), "sketches")
-    keys = sketches.select("node", F.explode("keys").alias("key")).distinct()
+    sketches = C.written(C.mapped(texts, _sketched(shingle), "doc_id long, text_hash long, node long, keys array<long>"), "sketches")
+    keys = sketches.select("node", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
     met = components(keys.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct())
     one = sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).join(met, "node").select(F.col("r.doc_id").alias("i"), F.col("r.text_hash").alias("h"), F.col("node").alias("x"), F.col("label").alias("root"))
     one = C.written(one, "candidates")
-    same = sketches["doc_id"].eqNullSafe(one["i"]) & (sketches["text_hash"] == one["h"]) & (sketches["node"] == one["x"])
-    sets = sketches.join(one, same).select("root", "node", "shingles").repartition(n, "root").sortWithinPartitions("root", "node")
-    judged = C.mapped(sets, _judged(similarity), "node long, label long")
+    same = texts["doc_id"].eqNullSafe(one["i"]) & (texts["text_hash"] == one["h"])
+    met = texts.join(one, same).select("root", "x", "text").repartition(n, "root").sortWithinPartitions("root", "x")
+    judged = C.mapped(met, _judged(shingle, similarity), "node long, label long")
     return C.written(sketches.select("doc_id", "text_hash", "node").join(judged, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root")), "groups")
 
 
