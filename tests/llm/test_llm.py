@@ -167,6 +167,21 @@ def test_bm25_by_brute_force():
         assert set(got) == set(want) and all(want[a] >= want[b] - 1e-5 for a, b in itertools.pairwise(got))
 
 
+def test_packing_order_by_brute_force():
+    """Templates whose terms are all frequent, and seeds of many terms: each window holds its seed's best neighbours by all terms."""
+    r = np.random.default_rng(6)
+    docs = [np.sort(np.concatenate([np.arange(i % 3 * 40, i % 3 * 40 + 40), r.integers(120, 300, 30)])).astype(np.uint16) for i in r.permutation(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=300)
+    idf = np.log1p((60 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    order = packing.packed_order(docs, idf, window=280)  # four documents
+    assert sorted(order) == list(range(60))
+    for at in range(0, 60, 4):
+        seed, rest = order[at], order[at + 1 :]
+        score = {d: sum(idf[t] * 2.2 * n / (n + 1.2) for t in set(docs[seed].tolist()) if (n := (docs[d] == t).sum())) for d in rest}
+        best = sorted(score.values(), reverse=True)[:3]
+        assert np.allclose([score[d] for d in order[at + 1 : at + 4]], best, rtol=1e-5)
+
+
 def _fingerprint(text):
     w = words_of((text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not w:

@@ -11,8 +11,8 @@ each task receives.
 In a shard, a window's seed is the document it starts with.  The index returns
 the seed's neighbours that are not yet used, best BM25 score first, and they
 fill the window; what doesn't fit is cut and opens the next window.  A query is
-the seed's TERMS heaviest terms; without a neighbour left, the next unused
-document in key order follows.  Only a shard's last window is not full.
+all the seed's terms, frequent ones included; without a neighbour left, the next
+unused document in key order follows.  Only a shard's last window is not full.
 
 Null text: empty, one end id.  Every row of docs is a document of its own.
 """
@@ -31,7 +31,7 @@ from textloom.llm import common as C
 from textloom.llm.tokens import default_path, encoder
 
 WINDOW, TERMS, K1, B = 1024, 24, 1.2, 0.75
-#: Terms in a larger part of a shard's documents have no postings there.
+#: Terms in a larger part of a shard's documents have a row of weights there instead of postings.
 FREQUENT = 1 / 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ENCODED = "doc_id long, key long, n long, ids binary, df array<long>"
@@ -86,9 +86,9 @@ def _sent(bounds, shards):
 
 
 class Index:
-    """BM25 inverted index over a shard's documents."""
+    """BM25 inverted index over a shard's documents; only ``whole`` scores frequent terms and more than TERMS of a seed."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, whole: bool = False):
         parts = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(u) for u, _ in parts])
         doc = np.repeat(np.arange(len(docs)), sizes).astype(np.int32)
@@ -100,6 +100,10 @@ class Index:
         self.rare = (local > 1) & (local <= max(2, FREQUENT * len(docs)))
         keep = self.rare[term]
         self.terms, self.weights, self.ends = term, weight.astype(np.float32), np.cumsum(sizes)
+        self.whole, often = whole, (local > 1) & ~self.rare & whole
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), len(docs)), np.float32)
+        self.rows[self.row[term[often[term]]], doc[often[term]]] = self.weights[often[term]]
         term, doc, weight = term[keep], doc[keep], self.weights[keep]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
@@ -109,8 +113,16 @@ class Index:
         """Unused documents that share a query term with the seed, best score first."""
         a, b = self.ends[seed - 1] if seed else 0, self.ends[seed]
         terms, weights = self.terms[a:b], self.weights[a:b]
+        often = self.row[terms]
         ok = self.rare[terms]
         terms, weights = terms[ok], weights[ok]
+        if self.whole:
+            total = self.rows[often[often >= 0]].sum(0, dtype=np.float64)
+            if len(terms):
+                spans = [slice(s, e) for s, e in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist(), strict=True)]
+                total += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(total))
+            found = np.flatnonzero(unused & (total > 0))
+            return found[np.argsort(-total[found], kind="stable")].tolist()
         if len(terms) > TERMS:
             terms = terms[np.argpartition(-weights, TERMS)[:TERMS]]
         if not len(terms):
@@ -125,7 +137,7 @@ class Index:
 
 def packed_order(docs: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) -> list[int]:
     """Documents in the order in which they fill windows."""
-    index, unused, order = Index(docs, idf), np.ones(len(docs), bool), []
+    index, unused, order = Index(docs, idf, whole=True), np.ones(len(docs), bool), []
     near, following, seed_of, at = [], 0, -1, 0
     while len(order) < len(docs):
         if at // window != seed_of:  # a window opens: its seed is the document cut at its start, or the next one
