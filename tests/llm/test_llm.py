@@ -463,3 +463,14 @@ def test_pipeline(spark, tmp_path):
     assert sum(passage in (t or "") for t in texts.values()) == 1
     packed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r.doc_id for r in packed} == set(texts)
+
+
+def test_near_duplicates_by_row(spark):
+    """A repeated doc_id loses only the row that is a copy; rows of one id or of none are linked too."""
+    import corpus_pipeline
+
+    a, b, c, d = (prose(100, f"row {i}") for i in range(4))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c + " end"), (None, d), (None, d + " end"), (None, a), (4, None), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, (r.text or "")[:100]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == collections.Counter((i, (t or "")[:100]) for i, t in [(1, a), (2, b), (3, c), (None, d), (4, None)])
