@@ -180,3 +180,26 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.line_no for r in spark.table("found").collect()] == [2]
+
+
+def test_fuzzy_words_with_accents(spark, tmp_path):
+    """Edits are counted in letters, and a hit with an accented letter stays."""
+    from textloom import catalog
+
+    words = ["treation", "treétion", "treètïon", "tréâtïön", "creation", "nothing", "été"]
+    spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def near(w):
+        m, d = min(len(w), len(catalog.FUZZY)), distance(w, catalog.FUZZY)
+        return d < 3 if m < 5 else d < m * 40 // 100
+
+    got = {r.token for r in catalog.queries()["fuzzy_words"](spark, str(tmp_path)).collect()}
+    assert got == {w for w in words if near(w)} and "treétion" in got

@@ -117,7 +117,7 @@ def queries() -> dict:
         "word_match": _search("documents", "and", rows, anchor="word"),
         "prefix_match": _search("documents", "ther", rows, anchor="prefix"),
         "suffix_match": _search("documents", "tion,", rows, anchor="suffix"),
-        "fuzzy_words": _search("documents", FUZZY, lambda found: _tokens(found).where(F.col("token").rlike("^[ -~]+$")), strategy="fuzzy"),
+        "fuzzy_words": _search("documents", FUZZY, _tokens, strategy="fuzzy"),
         "regex_lines": _search("documents", "th(?:er|en)[a-z]+ou", rows, strategy="regex"),
         "regex_all_matches": _search("documents", "[A-Z][a-z]+tion", _tokens, strategy="regex"),
         "pattern_file": pattern_file,
