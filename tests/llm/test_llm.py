@@ -401,6 +401,7 @@ def test_excerpt_of_a_long_item_among_short_documents(spark):
     item = [f"i{j}" for j in range(500)]
     texts = [" ".join([*(f"d{i}x{j}" for j in range(25)), "i20", *item[:60:3], *(f"d{i}y{j}" for j in range(14))]) for i in range(12)]
     texts[5] = " ".join([*(f"q{j}" for j in range(5)), *item[150:200], *(f"r{j}" for j in range(5))])
+    texts[3] = "i25 " + texts[3].split(" ", 1)[1]  # stands where the alignment of texts[5] has it
     alone = spark.createDataFrame([(5, texts[5])], "doc_id long, text string")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
