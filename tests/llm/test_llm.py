@@ -150,36 +150,69 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def _stream(docs):
+    return np.concatenate(docs), np.array([len(d) for d in docs])
+
+
+def _bm25(docs, idf, seed, d, mean):
+    """By the formula: the seed's terms that stand in more than one document."""
+    total = 0.0
+    for t in set(docs[seed].tolist()):
+        if (n := (docs[d] == t).sum()) and sum(t in x for x in docs) > 1:
+            total += idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
+    return total
+
+
 def test_bm25_by_brute_force():
     r = np.random.default_rng(2)
     docs = [np.sort(r.integers(0, 60, r.integers(5, 15))).astype(np.uint16) for _ in range(80)]
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
-    idf = np.log1p((80 - df + 0.5) / (df + 0.5)).astype(np.float32)
-    index, mean = packing.Index(docs, idf), np.mean([len(d) for d in docs])
-    for seed in range(80):
-        want = {}
-        for t in set(docs[seed].tolist()):
-            if 1 < df[t] <= 10:
-                for d in range(80):
-                    if n := (docs[d] == t).sum():
-                        want[d] = want.get(d, 0) + idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
-        got = index.neighbours(seed, np.ones(80, bool))
-        assert set(got) == set(want) and all(want[a] >= want[b] - 1e-5 for a, b in itertools.pairwise(got))
+    docs += [np.concatenate([d, r.integers(60, 400, 30).astype(np.uint16)]) for d in docs[:20]]  # frequent terms and rare ones
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    idf, mean = np.log1p((100 - df + 0.5) / (df + 0.5)).astype(np.float32), np.mean([len(d) for d in docs])
+    assert (df >= packing.DENSE).any() and ((df > 1) & (df < packing.DENSE)).any()
+    index, used = packing.Index(*_stream(docs), idf, mean), np.zeros(100, bool)
+    used[[3, 50]] = True
+    for seed in range(0, 100, 7):
+        want = [0 if used[d] else _bm25(docs, idf, seed, d, mean) for d in range(100)]
+        assert np.allclose(index.neighbours(seed, used), want, rtol=1e-4, atol=1e-6)
 
 
 def test_packing_order_by_brute_force():
-    """Templates whose terms are all frequent, and seeds of many terms: each window holds its seed's best neighbours by all terms."""
+    """The greedy rule, told plainly: each window takes its seed's best unused neighbours by all terms, then the next in key order."""
     r = np.random.default_rng(6)
-    docs = [np.sort(np.concatenate([np.arange(i % 3 * 40, i % 3 * 40 + 40), r.integers(120, 300, 30)])).astype(np.uint16) for i in r.permutation(60)]
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=300)
-    idf = np.log1p((60 - df + 0.5) / (df + 0.5)).astype(np.float32)
-    order = packing.packed_order(docs, idf, window=280)  # four documents
-    assert sorted(order) == list(range(60))
-    for at in range(0, 60, 4):
-        seed, rest = order[at], order[at + 1 :]
-        score = {d: sum(idf[t] * 2.2 * n / (n + 1.2) for t in set(docs[seed].tolist()) if (n := (docs[d] == t).sum())) for d in rest}
-        best = sorted(score.values(), reverse=True)[:3]
-        assert np.allclose([score[d] for d in order[at + 1 : at + 4]], best, rtol=1e-5)
+    docs = [np.sort(np.concatenate([np.arange(i % 3 * 40, i % 3 * 40 + 40), r.integers(120, 300, r.integers(1, 40))])).astype(np.uint16) for i in r.permutation(60)]
+    docs += [np.array([500 + i], np.uint16) for i in range(5)]  # without a neighbour
+    docs = [docs[i] for i in r.permutation(len(docs))]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=600)
+    idf, mean = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32), np.mean([len(d) for d in docs])
+    for window in (64, 280):
+        order, at, left, seed = [], 0, list(range(len(docs))), None
+        while left:
+            if at % window == 0:
+                seed = None
+            elif at // window != (at - len(docs[order[-1]])) // window:
+                seed = order[-1]
+            score = {d: _bm25(docs, idf, seed, d, mean) if seed is not None else 0 for d in left}
+            pick = max(left, key=lambda d: (round(score[d], 4), -d))
+            left.remove(pick)
+            seed = pick if at % window == 0 else seed
+            order.append(pick)
+            at += len(docs[pick])
+        assert packing.packed_order(*_stream(docs), idf, mean, window) == order
+
+
+def test_packing_over_many_shards(spark, monkeypatch):
+    """Shards of few documents, a hot key, null and repeated ids: every id in one piece, windows full."""
+    monkeypatch.setattr(packing, "DOCS", 7)
+    rows = [(None if i % 9 == 0 else i // 2, prose(i % 60, i % 20) if i % 3 else prose(40, "hot")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack(docs, window=64).toPandas()
+    assert sorted(pieces[pieces.start == 0].doc_id.fillna(-1)) == sorted(-1 if i is None else i for i, _ in rows)
+    size = pieces.groupby("sequence_id").length.sum()
+    assert size.max() == 64 and (size < 64).sum() <= 4
+    for _, s in pieces.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.values == np.concatenate([[0], s.length.cumsum()[:-1]])).all()
 
 
 def _fingerprint(text):

@@ -33,14 +33,22 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts(spark: SparkSession, size: int, each: int) -> int:
+    """Tasks of about ``each`` bytes for ``size`` bytes, and as many as the session's shuffle partitions at least."""
+    return max(buckets(spark), -(-int(size) // each), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    if (path := context.getCheckpointDir()) is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+        path = context.getCheckpointDir()
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
