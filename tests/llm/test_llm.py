@@ -444,38 +444,67 @@ def test_excerpt_of_a_long_item_among_short_documents(spark):
     assert sorted(r.doc_id for r in decontamination.clean(df, bench).collect()) == [i for i in range(12) if i != 5]
 
 
-def test_language(spark, none):
+def test_language(spark, docs, none):
     r = random.Random(4)
     kinds = {"aa": ["tha", "ing", "er", "wh"], "bb": ["ção", "eau", "ou", "que"]}
     rows = [(i, " ".join("".join(r.choice(kinds[k]) for _ in range(r.randint(1, 3))) for _ in range(r.randint(5, 60))), k) for i in range(300) for k in [("aa", "bb")[i % 2]]]
-    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 34 !", "bb"), (902, "", None), (None, "thaing er", None)], "doc_id long, text string, lang string")
+    long = " ".join(r.choice(kinds["bb"]) + r.choice(kinds["bb"]) for _ in range(30_000))
+    odd = [(900, None, "aa"), (901, "12 34 !", "bb"), (902, "", None), (903, "½ ² Ⅷ", "aa"), (904, long, None), (905, "eauou", None), (None, "thaing er", None), rows[0], rows[0]]
+    df = spark.createDataFrame([(*x, 1, "z") for x in [*rows, *odd]], "doc_id long, text string, lang string, score int, held_out string")
     found = language_id.identify(df).collect()
     by = {x.doc_id: x for x in found}
-    assert len(found) == 304 and all(0 <= x.score <= 1 for x in found)
-    assert [by[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
+    assert len(found) == 300 + len(odd) and all(0 <= x.score <= 1 for x in found)
+    assert [by[i].lang_pred for i in (900, 901, 902, 903)] == ["und"] * 4
+    assert by[904].lang_pred == by[905].lang_pred == "bb" and by[None].lang_pred == "aa" and not by[None].held_out
+    assert len({(x.lang_pred, x.score) for x in found if x.doc_id == 0}) == 1
     held = [(by[i].lang_pred, k) for i, _, k in rows if by[i].held_out]
     assert len(held) > 40 and np.mean([a == b for a, b in held]) > 0.97
     assert language_id.identify(none).count() == 0
+    assert {x.lang_pred for x in language_id.identify(docs.drop("lang").withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
 def test_gru_gradients():
     model = language_id.BiGru(["a", "b", "c"], hidden=4)
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    x, lengths = language_id.as_array([b" ab ", b" abcde ", b"x"])
-    y = np.array([0, 1, 2])
-    _, grads = model.gradients(x, lengths, y)
+    pieces, y = [b" ab ", b" abcde ", b"x"], np.array([0, 1, 2])
+    _, grads = model.gradients(pieces, y)
     for name, w in model.w.items():
         flat = np.argwhere(np.abs(grads[name]) > 1e-4)
         for at in flat[:: max(1, len(flat) // 5)][:5]:
             at, old = tuple(at), w[tuple(at)]
             w[at] = old + 1e-5
-            up = model.gradients(x, lengths, y)[0]
+            up = model.gradients(pieces, y)[0]
             w[at] = old - 1e-5
-            down = model.gradients(x, lengths, y)[0]
+            down = model.gradients(pieces, y)[0]
             w[at] = old
             assert abs((up - down) / 2e-5 - grads[name][at]) < 2e-3, name
 
 
+def test_gru_by_a_plain_pass():
+    """Windows in step give what one cell after the other gives."""
+    model, r = language_id.BiGru(["a", "b", "c"]), random.Random(3)
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (1, 2, 40, 448, 449, 1500)] + [b"", None]
+
+    def states(d, data):
+        h, n, out = np.zeros(model.hidden), model.hidden, []
+        for byte in data:
+            a, u = model.w[d + "x"][byte], h @ model.w[d + "h"]
+            z, g = 1 / (1 + np.exp(-(a[:n] + u[:n]))), 1 / (1 + np.exp(-(a[n : 2 * n] + u[n : 2 * n])))
+            h = (1 - z) * h + z * np.tanh(a[2 * n :] + g * u[2 * n :])
+            out.append(h)
+        return out
+
+    for text, got in zip(texts, model.reader().documents(texts), strict=True):
+        total, text = np.zeros(3), (text or b"").lower()
+        for at in range(0, len(text), language_id.STRIDE):
+            first, last = max(0, at - language_id.MARGIN), min(len(text), at + language_id.STRIDE + language_id.MARGIN)
+            part = text[first:last]
+            h = np.concatenate([states("f", part), states("b", part[::-1])[::-1]], 1)
+            p = np.exp(h @ model.w["out"] + model.w["bias"])
+            total += (p / p.sum(1, keepdims=True))[at - first :][: language_id.STRIDE].sum(0)
+        assert np.allclose(got, total / max(1, len(text)), atol=1e-4)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,213 +1,224 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-The network reads each word of a text, with a space before and after it, from
-both sides; every byte position gets a distribution over the languages, and a
-document's distribution is the mean over all positions of its whole text.  As
-state does not pass between words, a word's positions always get the same
-labels, so each worker runs the network once for a frequent word and adds up
-the rest from a bounded table.  Longer words are read in pieces of ``PIECE``
-bytes.
-
-The network is trained in numpy by backpropagation through time, with Adam, on
-words of at most ``SAMPLE`` documents (least hashes of doc_id) whose language
-is given and whose doc_id is not held out.  Neither language, source nor doc_id
-enters a prediction.
-
-Null text, or text without a letter: ``und`` with score 1.  If nothing can be
-learned, ``und`` with score 0.  Repeated rows each get a row; other columns are
-ignored.
+The network reads a text's bytes from both sides, its state going on from word
+to word; every byte position gets a distribution over the languages, and a
+document's distribution is the mean over all positions of its whole text.
+Texts are read in windows of ``STRIDE`` bytes, with ``MARGIN`` bytes of context
+on both sides that are read but not counted, so each position is labelled once
+and a text of any length takes bounded memory.
+
+The network is trained in numpy by backpropagation through time, with Adam.  It
+learns from at most ``SAMPLE`` documents (least hashes of doc_id) whose language
+is given and whose doc_id is not held out; of each, an extract of ``EXTRACT``
+characters from a place that a hash chooses; and of the extracts, ``PIECES``
+pieces of ``PIECE`` bytes, as many of each language.  Only training is sampled.
+Neither language, source nor doc_id enters a prediction.
+
+Null text, or text without a letter (Unicode category L): ``und`` with score 1.
+If nothing can be learned, ``und`` with score 0.  A null doc_id is never learned
+from and not held out.  Repeated rows each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
 
 SAMPLE, FOLDS, HELD = 3000, 4, 2
-HIDDEN, PIECE, WORDS, BATCH, EPOCHS, RATE = 16, 48, 12_000, 256, 6, 0.02
+EXTRACT, PIECES, PIECE = 400, 4000, 96
+HIDDEN, BATCH, EPOCHS, RATE = 16, 128, 5, 0.015
+STRIDE, MARGIN, AT_ONCE = 448, 32, 2048
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-#: This process's sums of words, by the model's key; workers are used again.
-_TABLES: dict[str, _Words] = {}
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+_LETTER = regex.compile(r"\p{L}")
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class BiGru:
-    """Weights by name; ``f`` reads forwards, ``b`` backwards."""
+    """Weights by name; ``f`` reads forwards, ``b`` backwards; gates in the order update, reset, new."""
 
     def __init__(self, langs: list[str], hidden: int = HIDDEN, seed: int = 1):
         r = np.random.default_rng(seed)
-        self.langs, self.hidden, self.key = langs, hidden, uuid.uuid4().hex
+        self.langs, self.hidden = langs, hidden
         self.w = {"out": r.normal(0, 0.3, (2 * hidden, len(langs))), "bias": np.zeros(len(langs))}
         for d in "fb":
             self.w[d + "x"] = r.normal(0, 0.3, (256, 3 * hidden))
-            self.w[d + "zr"] = r.normal(0, 0.3, (hidden, 2 * hidden))
-            self.w[d + "n"] = r.normal(0, 0.3, (hidden, hidden))
+            self.w[d + "h"] = r.normal(0, 0.3, (hidden, 3 * hidden))
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _read(self, d, x, mask, keep):
-        """Hidden states of all steps, (steps, rows, hidden); padding passes the state on."""
-        n, h = self.hidden, np.zeros((x.shape[0], self.hidden), np.float32)
-        wx, wzr, wn = (self.w[d + k] for k in ("x", "zr", "n"))
-        states, saved = [], []
-        for t in range(x.shape[1]):
-            a = wx[x[:, t]]
-            zr = _sigmoid(a[:, : 2 * n] + h @ wzr)
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(a[:, 2 * n :] + (r * h) @ wn)
-            m = mask[:, t, None]
-            new = np.where(m, (1 - z) * h + z * c, h)
+    def _read(self, d, x, live, keep):
+        """Hidden states of all steps, (steps, rows, hidden); rows come longest first, ``live`` of them in each step."""
+        n, wx, wh = self.hidden, self.w[d + "x"], self.w[d + "h"]
+        h = np.zeros((x.shape[1], n), wx.dtype)
+        states, saved = np.zeros((len(x), *h.shape), wx.dtype), []
+        for t, m in enumerate(live):
+            a, u = wx[x[t, :m]], h[:m] @ wh
+            zr = 0.5 + 0.5 * np.tanh(0.5 * (a[:, : 2 * n] + u[:, : 2 * n]))
+            z, r, u = zr[:, :n], zr[:, n:], u[:, 2 * n :]
+            c = np.tanh(a[:, 2 * n :] + r * u)
             if keep:
-                saved.append((h, z, r, c, m))
-            states.append(new)
-            h = new
-        return np.stack(states), saved
-
-    def positions(self, x, lengths, keep=False):
-        """Probabilities at each position, (steps, rows, languages)."""
-        mask = np.arange(x.shape[1]) < lengths[:, None]
-        back = np.where(mask, lengths[:, None] - 1 - np.arange(x.shape[1]), 0)
-        reverse = np.where(mask, np.take_along_axis(x, back, 1), 0)
-        f, kf = self._read("f", x, mask, keep)
-        b, kb = self._read("b", reverse, mask, keep)
-        turned = np.take_along_axis(b, back.T[:, :, None], 0)
-        h = np.concatenate([f, turned], 2)
-        logits = h @ self.w["out"] + self.w["bias"]
-        logits -= logits.max(2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(2, keepdims=True)
-        return (p, h, kf, kb, mask, back, reverse) if keep else (p, mask)
-
-    def _back(self, d, x, saved, dh_all, grads):
-        n, wzr, wn = self.hidden, self.w[d + "zr"], self.w[d + "n"]
-        dh = np.zeros_like(dh_all[0])
-        for t in range(len(saved) - 1, -1, -1):
-            h, z, r, c, m = saved[t]
-            dh = dh + dh_all[t]
-            g = np.where(m, dh, 0)
+                saved.append((h[:m], z, r, c, u))
+            h = h[:m] + z * (c - h[:m])
+            states[t, :m] = h
+        return states, saved
+
+    def _back(self, d, x, live, saved, dh_all, grads):
+        n, wh = self.hidden, self.w[d + "h"]
+        dh = np.zeros((0, n), wh.dtype)
+        for t in range(len(live) - 1, -1, -1):
+            h, z, r, c, u = saved[t]
+            g = dh_all[t, : live[t]].copy()
+            g[: len(dh)] += dh
             dc = g * z * (1 - c * c)
-            drh = dc @ wn.T
-            dz = g * (c - h) * z * (1 - z)
-            dr = drh * h * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            grads[d + "n"] += (r * h).T @ dc
-            grads[d + "zr"] += h.T @ dzr
-            np.add.at(grads[d + "x"], x[:, t], np.concatenate([dzr, dc], 1))
-            dh = np.where(m, g * (1 - z) + drh * r + dzr @ wzr.T, dh)
-
-    def gradients(self, x, lengths, labels):
-        """Loss and gradients of the mean cross-entropy over all positions."""
-        p, h, kf, kb, mask, back, reverse = self.positions(x, lengths, keep=True)
-        count = mask.sum()
-        rows = np.arange(len(labels))
-        loss = -np.log(np.maximum(p[:, rows, labels], 1e-9))[mask.T].sum() / count
-        d = p.copy()
-        d[:, rows, labels] -= 1
-        d *= mask.T[:, :, None] / count
+            dz, dr = g * (c - h) * z * (1 - z), dc * u * r * (1 - r)
+            du = np.concatenate([dz, dr, dc * r], 1)
+            grads[d + "h"] += h.T @ du
+            np.add.at(grads[d + "x"], x[t, : live[t]], np.concatenate([dz, dr, dc], 1))
+            dh = g * (1 - z) + du @ wh.T
+
+    def gradients(self, pieces: list[bytes], labels: np.ndarray):
+        """Loss and gradients of the mean cross-entropy over all positions of the pieces."""
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        lengths, labels = np.array([len(pieces[i]) for i in order]), labels[order]
+        steps = np.arange(int(lengths[0]))
+        live = (lengths > steps[:, None]).sum(1).tolist()
+        forward, backward = (np.frombuffer(b"".join(pieces[i][::way].ljust(len(steps), b"\0") for i in order), np.uint8).reshape(len(order), -1).T for way in (1, -1))
+        mask = (steps[:, None] < lengths)[:, :, None]
+        turn = np.where(mask[:, :, 0], lengths - 1 - steps[:, None], 0)[:, :, None]
+        f, kept_f = self._read("f", forward, live, True)
+        b, kept_b = self._read("b", backward, live, True)
+        h = np.concatenate([f, np.take_along_axis(b, turn, 0)], 2) * mask
+        p = h @ self.w["out"] + self.w["bias"]
+        p = np.exp(p - p.max(2, keepdims=True))
+        p /= p.sum(2, keepdims=True)
+        rows, count = np.arange(len(order)), lengths.sum()
+        loss = -(np.log(np.maximum(p[:, rows, labels], 1e-9)) * mask[:, :, 0]).sum() / count
+        p[:, rows, labels] -= 1
+        p *= mask / count
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-        grads["out"] = np.einsum("trh,trl->hl", h, d)
-        grads["bias"] = d.sum((0, 1))
-        dh = d @ self.w["out"].T
-        n = self.hidden
-        turned = np.take_along_axis(dh[:, :, n:], back.T[:, :, None], 0) * mask.T[:, :, None]
-        self._back("f", x, kf, dh[:, :, :n], grads)
-        self._back("b", reverse, kb, turned, grads)
+        grads["out"], grads["bias"] = np.einsum("trh,trl->hl", h, p), p.sum((0, 1))
+        dh, n = p @ self.w["out"].T, self.hidden
+        self._back("f", forward, live, kept_f, dh[:, :, :n], grads)
+        self._back("b", backward, live, kept_b, np.take_along_axis(dh[:, :, n:], turn, 0) * mask, grads)
         return loss, grads
 
-    def train(self, x, lengths, labels, epochs=EPOCHS, rate=RATE, seed=2):
+    def train(self, pieces: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 2) -> BiGru:
         r, step = np.random.default_rng(seed), 0
         m1 = {k: np.zeros_like(v) for k, v in self.w.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.w.items()}
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for at in range(0, len(x), BATCH):
+        for epoch in range(epochs):
+            order = r.permutation(len(pieces))
+            for at in range(0, len(order), BATCH):
                 i = order[at : at + BATCH]
-                _, grads = self.gradients(x[i, : int(lengths[i].max())], lengths[i], labels[i])
+                _, grads = self.gradients([pieces[j] for j in i], labels[i])
                 step += 1
+                now = rate * 0.6**epoch
                 for k, g in grads.items():
                     m1[k] = 0.9 * m1[k] + 0.1 * g
                     m2[k] = 0.999 * m2[k] + 0.001 * g * g
-                    self.w[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.w[k] -= (now * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """Summed probabilities of each word's positions, and their number in the last column."""
-        pieces = [(i, p) for i, w in enumerate(words) for p in padded(w)]
-        out = np.zeros((len(words), len(self.langs) + 1))
-        pieces.sort(key=lambda x: len(x[1]))
-        for at in range(0, len(pieces), 1024):
-            x, lengths = as_array([p for _, p in pieces[at : at + 1024]])
-            p, mask = self.positions(x, lengths)
-            rows = np.array([i for i, _ in pieces[at : at + 1024]])
-            np.add.at(out, rows, np.concatenate([(p * mask.T[:, :, None]).sum(0), lengths[:, None]], 1))
+    def reader(self) -> _Reader:
+        return _Reader(self)
+
+
+class _Reader:
+    """Inference: all windows in step, one contiguous array for each gate."""
+
+    def __init__(self, model: BiGru):
+        n = model.hidden
+        self.n, self.model = n, model
+        gates = [slice(0, n), slice(n, 2 * n), slice(2 * n, 3 * n)]
+        # half of a gate's argument, as its sigmoid is taken by tanh
+        self.x = {d: [np.ascontiguousarray(model.w[d + "x"][:, g] * s) for g, s in zip(gates, (0.5, 0.5, 1), strict=True)] for d in "fb"}
+        self.h = {d: [np.ascontiguousarray(model.w[d + "h"][:, g] * s) for g, s in zip(gates, (0.5, 0.5, 1), strict=True)] for d in "fb"}
+
+    def _read(self, d, data, first, way, live, place, logits):
+        n, xs, hs = self.n, self.x[d], self.h[d]
+        out = np.ascontiguousarray(self.model.w["out"][:n] if d == "f" else self.model.w["out"][n:])
+        m = live[0] if live else 0
+        h, a, z, r, c = (np.zeros((m, n), np.float32) for _ in range(5))
+        half, one = np.float32(0.5), np.float32(1)
+        for t, m in enumerate(live):
+            byte, hm, am, zm, rm, cm = data[first[:m] + way * t], h[:m], a[:m], z[:m], r[:m], c[:m]
+            for gate, x, w in ((zm, xs[0], hs[0]), (rm, xs[1], hs[1])):
+                np.matmul(hm, w, out=gate)
+                np.take(x, byte, axis=0, out=am, mode="clip")
+                gate += am
+                np.tanh(gate, out=gate)
+                gate += one
+                gate *= half
+            np.matmul(hm, hs[2], out=cm)
+            cm *= rm
+            np.take(xs[2], byte, axis=0, out=am, mode="clip")
+            cm += am
+            np.tanh(cm, out=cm)
+            cm -= hm
+            cm *= zm
+            hm += cm
+            logits[place[:m] + way * t] += hm @ out
+
+    def sums(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, core_begin: np.ndarray, core_end: np.ndarray) -> np.ndarray:
+        """Summed probabilities over the core of each window [begin, end) of the bytes."""
+        order = np.argsort(begin - end, kind="stable")
+        begin, size, skip, core = begin[order], (end - begin)[order], (core_begin - begin)[order], (core_end - core_begin)[order]
+        place = np.cumsum(size) - size
+        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left").tolist()
+        logits = np.tile(self.model.w["bias"], (int(size.sum()), 1))
+        self._read("f", data, begin, 1, live, place, logits)
+        self._read("b", data, begin + size - 1, -1, live, place + size - 1, logits)
+        p = [np.ascontiguousarray(c) for c in logits.T]
+        top = p[0].copy()
+        for c in p[1:]:
+            np.maximum(top, c, out=top)
+        for c in p:
+            c -= top
+            np.exp(c, out=c)
+        total = sum(p)
+        edges = np.stack([place + skip, place + skip + core], 1).ravel()
+        out = np.empty((len(order), len(p)))
+        for k, c in enumerate(p):
+            c /= total
+            out[order, k] = np.add.reduceat(np.append(c, np.float32(0)), edges)[::2]
         return out
 
-
-def padded(word: bytes) -> list[bytes]:
-    word = b" " + word.lower() + b" "
-    return [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
-
-
-def as_array(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(p) for p in pieces], np.int64)
-    width = int(lengths.max(initial=1))
-    return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width), lengths
-
-
-def fitted(texts: list[bytes], langs: list[str], words: int = WORDS) -> BiGru | None:
-    """Trained on equally many words of each language, dealt evenly over its documents."""
-    names = sorted(set(langs))
+    def documents(self, texts: list[bytes | None]) -> np.ndarray:
+        """Mean distribution over all positions of each text; zeros for one without bytes."""
+        sizes = np.array([len(t or b"") for t in texts], np.int64)
+        data = np.frombuffer(b"".join(t for t in texts if t).translate(_LOWER), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        n = -(-sizes // STRIDE)
+        doc = np.repeat(np.arange(len(texts)), n)
+        core = starts[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
+        stop = starts[doc] + sizes[doc]
+        out = np.zeros((len(texts), len(self.model.langs)))
+        for cut in range(0, len(doc), AT_ONCE):
+            own, at, last = doc[cut : cut + AT_ONCE], core[cut : cut + AT_ONCE], stop[cut : cut + AT_ONCE]
+            core_end = np.minimum(at + STRIDE, last)
+            np.add.at(out, own, self.sums(data, np.maximum(at - MARGIN, starts[own]), np.minimum(core_end + MARGIN, last), at, core_end))
+        return out / np.maximum(sizes, 1)[:, None]
+
+
+def fitted(texts: list[bytes], langs: list[str], pieces: int = PIECES) -> BiGru | None:
+    """Trained on as many pieces of each language, from places that chance chooses in its texts."""
+    names = sorted({lang for t, lang in zip(texts, langs, strict=True) if t})
     if not names:
         return None
-    r, own = np.random.default_rng(3), []
+    r, own, labels = np.random.default_rng(3), [], []
     for k, name in enumerate(names):
-        pool = [w for t, lang in zip(texts, langs, strict=True) if lang == name for w in t.split() if any(c > 64 for c in w)]
-        if pool:
-            own += [(p, k) for i in r.integers(0, len(pool), words // len(names)) for p in padded(pool[i])]
-    if not own:
-        return None
-    x, lengths = as_array([p for p, _ in own])
-    return BiGru(names).train(x, lengths, np.array([k for _, k in own]))
-
-
-class _Words:
-    """Sums of at most ``limit`` words and those of one batch; forgets all when more would come."""
-
-    def __init__(self, model: BiGru, limit: int = 300_000):
-        self.model, self.limit = model, limit
-        self.row, self.table = {}, np.zeros((0, len(model.langs) + 1), np.float32)
-
-    def add(self, parts: list[list[bytes]]) -> None:
-        new = list({w for ws in parts for w in ws if w not in self.row})
-        if len(self.row) + len(new) > self.limit and self.row:
-            self.__init__(self.model, self.limit)
-            new = list({w for ws in parts for w in ws})
-        size = len(self.row)
-        self.row.update(zip(new, range(size, size + len(new)), strict=True))
-        if size + len(new) > len(self.table):  # grows by half
-            self.table = np.concatenate([self.table, np.zeros((len(self.table) // 2 + len(new), self.table.shape[1]), np.float32)])
-        self.table[size : size + len(new)] = self.model.word_sums(new)
-
-    def total(self, words: list[bytes]) -> np.ndarray:
-        return self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-
-
-def _words(model: BiGru) -> _Words:
-    if model.key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.key] = _Words(model)
-    return _TABLES[model.key]
+        pool = [t.translate(_LOWER) for t, lang in zip(texts, langs, strict=True) if lang == name and t]
+        for i in r.integers(0, len(pool), max(1, pieces // len(names))).tolist():
+            at = int(r.integers(0, max(1, len(pool[i]) - PIECE + 1)))
+            own.append(pool[i][at : at + int(r.integers(PIECE // 4, PIECE + 1))])
+            labels.append(k)
+    return BiGru(names).train(own, np.array(labels))
 
 
 def held_out():
@@ -215,35 +226,35 @@ def held_out():
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> BiGru | None:
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(sample)
-    rows = chosen.collect()  # at most ``sample`` documents
-    return fitted([bytes(r["text"]) for r in rows], [r["lang"] for r in rows])
+    """Fitted on at most ``sample`` extracts; a threshold on the hash keeps what each task sends small."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("doc_id").alias("mix"))
+    part = min(1.0, 2 * sample / max(1, known.count()))
+    near = known.where(F.pmod("mix", F.lit(1 << 30)) <= int(part * (1 << 30))).where("text IS NOT NULL")
+    place = F.pmod(F.shiftright("mix", 7), F.greatest(F.lit(1), F.length("text") - EXTRACT)) + 1
+    chosen = near.select("mix", "doc_id", F.substring("text", place.cast("int"), F.lit(EXTRACT)).alias("extract"), "lang").orderBy("mix", "doc_id", "extract", "lang").limit(sample)
+    rows = chosen.collect()  # at most ``sample`` rows of EXTRACT characters
+    return fitted([r["extract"].encode("utf-8", "replace") for r in rows], [r["lang"] for r in rows])
 
 
 def predictions(docs: DataFrame, model: BiGru | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs."""
 
     def run(batches):
-        words = _words(model) if model else None
+        reader = model.reader() if model else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for cut in range(0, len(texts), 2000):
-                own = texts[cut : cut + 2000]
-                ids = batch.column(0).slice(cut, len(own))
-                pred, score = ["und"] * len(own), np.zeros(len(own))
-                if model:
-                    parts = [t.split() if t else [] for t in own]
-                    words.add(parts)
-                    for i, ws in enumerate(parts):
-                        if not own[i] or not _LETTER.search(own[i].decode("utf-8", "replace")):
-                            score[i] = 1.0
-                            continue
-                        total = words.total(ws)
-                        best = int(total[:-1].argmax())
-                        pred[i], score[i] = model.langs[best], min(1.0, total[best] / total[-1])
-                held = pa.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD for i in ids.to_pylist()])
-                yield pa.RecordBatch.from_arrays([ids, held, pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            pred, score = ["und"] * len(texts), np.zeros(len(texts))
+            if model:
+                lettered = np.array([bool(t) and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts], bool)
+                score[~lettered] = 1.0
+                at = np.flatnonzero(lettered)
+                mean = reader.documents([texts[i] for i in at.tolist()])
+                best = mean.argmax(1)
+                score[at] = np.minimum(1.0, mean[np.arange(len(at)), best])
+                for i, k in zip(at.tolist(), best.tolist(), strict=True):
+                    pred[i] = model.langs[k]
+            held = pa.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD for i in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), held, pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return C.mapped(C.texts_of(docs), run, SCHEMA)
 
