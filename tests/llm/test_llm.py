@@ -415,20 +415,61 @@ def test_encoder_on_white_space_and_signs():
 
 
 def test_decontamination(spark, docs, none):
-    for places in itertools.combinations(range(15), 3):  # any three substitutions leave a seed
-        assert any(not set(places) & {o + j for j in m} for m in decontamination.MASKS for o in range(15 - m[-1]))
+    for size in range(1, 41):  # whatever the substitutions that are allowed, a seed is left
+        window = min(15, size)
+        masks = next(masks for least, most, masks in decontamination.FAMILIES if least <= size <= most)
+        for places in itertools.combinations(range(window), window - -(-4 * window // 5)):
+            assert any(not set(places) & {o + j for j in m} for m in masks for o in range(window - m[-1])), (size, places)
     item = prose(30, "item").split()
     changed = list(item)
     changed[3], changed[9], changed[20] = "one", "two", "three"
     rows = [(1, f"{prose(40, 'a')} {' '.join(item)} {prose(40, 'b')}"), (2, f"{prose(40, 'c')} {' '.join(changed)}"), (3, prose(200, "d")), (4, " ".join(item[:8])), (5, " ".join(item[10:27]).upper() + "."), (6, None), (7, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(9, " ".join(item), 1), (10, None, 1), (11, "too short", 1), (None, "x", 1)], "item_id long, text string, doc_id int")
+    bench = spark.createDataFrame([(9, " ".join(item), 1), (10, None, 1), (11, "too short", 1), (None, "x", 1), (12, "", 1)], "item_id long, text string, doc_id int")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()) == [(1, 9), (2, 9), (5, 9)]
     assert sorted(r.doc_id for r in decontamination.clean(df, bench).collect()) == [3, 4, 6, 7]
     assert decontamination.clean(docs, bench.limit(0)).count() == docs.count()
     assert decontamination.contaminated(none, bench).count() == 0
 
 
+def _alignments(words, item):
+    """Brute force: over all alignments, (matched, overlap, -start) of the best window, or None."""
+    best, window = None, min(15, len(item))
+    for start in range(1 - len(item), len(words)):
+        same = [0 <= start + j < len(words) and words[start + j] == x for j, x in enumerate(item)]
+        matched = max(sum(same[a : a + window]) for a in range(len(item) - window + 1))
+        if 5 * matched >= 4 * window:
+            best = max(best or (0,), (matched, sum(same), -max(start, 0)))
+    return best
+
+
+def test_contamination_by_all_alignments(spark, monkeypatch):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    items = [(None if i == 7 else i, [r.choice(words) for _ in range(1 + i % 40)]) for i in range(60)]
+    items += [(200, ["same"] * 20), (201, ["same"] * 3), (3, items[3][1]), (202, [f"t{i}" for i in range(15)] + ["a"]), (203, [f"t{i}" for i in range(15)] + ["b"])]
+    docs = [(i, [r.choice(words) for _ in range(r.randint(0, 12))]) for i in range(40)]
+    for i, (_, item) in enumerate(items):  # excerpts with substitutions, at the edges of documents too
+        a = r.randint(0, max(0, len(item) - 15))
+        part = [x if r.random() > 0.15 else r.choice(words) for x in item[a : a + r.randint(10, 25)]]
+        docs.append((100 + i, [r.choice(words) for _ in range(r.choice((0, 5)))] + part + [r.choice(words) for _ in range(r.choice((0, 5)))]))
+    docs += [(500, ["same"] * 60), (None, items[30][1]), (100, items[30][1]), (100, items[30][1])]
+    want = collections.Counter()
+    for d, text in docs:
+        for i, item in items:
+            if best := _alignments(text, item):
+                want[d, i, -best[2], best[0], min(15, len(item)), best[1]] += 1
+    bench = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in items], "item_id long, text string")
+    rows = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    for parts in (1, 7):
+        assert collections.Counter(map(tuple, decontamination.contaminated(rows.repartition(parts), bench).collect())) == want
+    clean = collections.Counter(x.doc_id for x in decontamination.clean(rows, bench).collect())
+    assert clean == collections.Counter(d for d, t in docs if not any(_alignments(t, item) for _, item in items))
+    monkeypatch.setattr(decontamination, "PART", 20)  # several parts, one after the other
+    assert collections.Counter(map(tuple, decontamination.contaminated(rows, bench).collect())) == want
+    assert collections.Counter(x.doc_id for x in decontamination.clean(rows, bench).collect()) == clean
+
+
 def test_excerpt_of_a_long_item_among_short_documents(spark):
     """The alignment starts in an earlier document that has an equal token, its middle and end lie in later ones."""
     item = [f"i{j}" for j in range(500)]

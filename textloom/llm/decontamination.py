@@ -1,21 +1,25 @@
 """Benchmark decontamination by spaced seeds.
 
-A mask fixes six token positions and ignores those between.  Test items and
+A mask fixes some token positions and ignores those between.  Test items and
 training documents are hashed under each mask at every position; equal hashes
-are hits, and each hit's alignment (item against document, position by
-position) is verified: a document is contaminated by an item when some window
-of ``WINDOW`` tokens of the item, or the whole of a shorter one, agrees with
-the document in at least ``SHARE`` of its places.  The masks are chosen so that
-any three substitutions in a window of fifteen leave one of them whole, so
-every such overlap is found.  Tokens are words without case or outer
-punctuation.
-
-Items go to the tasks in parts of at most ``PART`` words each; a benchmark
-larger than one part makes further scans, never a larger broadcast.  Documents
-are not exchanged at all.
-
-Null or empty texts match nothing; neither do items of fewer than ``LEAST``
-tokens.  Repeated items and documents each give their rows.
+are hits, and around each hit the item is compared with the hit's document,
+place by place: a document is contaminated by an item when some window of
+``WINDOW`` tokens of the item, or the whole of a shorter one, agrees with the
+document in at least ``SHARE`` of its places.  ``FAMILIES`` gives the masks for
+each length of item: however the substitutions that SHARE allows fall, one of
+its masks stays whole somewhere in the window, so every such overlap is found.
+Items of one to four tokens allow no substitution: their mask is the item.
+Tokens are words without case or outer punctuation.
+
+Items go to the tasks in parts of about ``PART`` words each; a benchmark larger
+than one part makes further scans, one part at a time, never a larger broadcast.
+Documents are not exchanged at all.  Hits are expanded ``AT_ONCE`` at a time, so
+neither a hot seed nor a long item makes a large array.
+
+Null or empty texts match nothing.  Rows of items with a null item_id are items
+like any other.  Repeated items and documents each give their rows.  Of several
+alignments of a pair, the row tells the one with the most matches in a window,
+then the most equal tokens over the whole alignment, then the first start.
 """
 
 from __future__ import annotations
@@ -31,8 +35,20 @@ from pyspark.sql import functions as F
 from textloom.llm import common as C
 from textloom.llm.substring_dedup import CHUNK
 
-MASKS = ((0, 1, 4, 7, 9, 10), (0, 1, 2, 4, 5, 6), (0, 1, 7, 8, 9, 10))
-WINDOW, SHARE, LEAST, PART = 15, 0.8, 11, 400_000
+WINDOW, PART, AT_ONCE = 15, 400_000, 1 << 17
+#: A window agrees if SHARE = 4 / 5 of its places do.
+SHARE = (4, 5)
+#: Least and most tokens of an item, and the masks for it.
+FAMILIES = (
+    (1, 1, ((0,),)),
+    (2, 2, ((0, 1),)),
+    (3, 3, ((0, 1, 2),)),
+    (4, 4, ((0, 1, 2, 3),)),
+    (5, 9, ((0, 1, 2), (0, 1, 4))),
+    (10, 12, ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))),
+    (13, 1 << 60, ((0, 1, 4, 7, 9, 10), (0, 1, 2, 4, 5, 6), (0, 1, 7, 8, 9, 10))),
+)
+MASKS = [(least, most, mask) for least, most, masks in FAMILIES for mask in masks]
 OUTER = b"\"'`.,;:!?()[]{}<>*#%$&|-_"
 SCHEMA = "doc_id long, item_id long, start long, matched int, window int, overlap int"
 
@@ -60,79 +76,94 @@ def _seeds(tokens: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray
 class Items:
     """Seeds of one part of the benchmark, sorted, behind a bit filter."""
 
-    def __init__(self, ids: list[int], texts: list):
+    def __init__(self, ids: list[int | None], texts: list):
         tokens = list(C.hashed_words(texts, Tokens()))
-        keep = [i for i, t in enumerate(tokens) if len(t) >= LEAST]
-        self.ids, tokens = np.array([ids[i] for i in keep], np.int64), [tokens[i] for i in keep]
+        keep = [i for i, t in enumerate(tokens) if len(t)]
+        self.ids, tokens = [ids[i] for i in keep], [tokens[i] for i in keep]
         self.sizes = np.array([len(t) for t in tokens], np.int64)
-        self.widest = int(self.sizes.max(initial=1))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.tokens = np.concatenate([*tokens, np.zeros(1, np.uint64)])
-        parts = [(h := _seeds(t, m, k), np.full(len(h), i), np.arange(len(h))) for i, t in enumerate(tokens) for k, m in enumerate(MASKS)]
-        h, item, at = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (list(zip(*parts, strict=True)) or [(), (), ()]))
+        self.masks, parts = [], []
+        for k, (least, most, mask) in enumerate(MASKS):
+            own = [(h := _seeds(t, mask, k), np.full(len(h), i), np.arange(len(h))) for i, t in enumerate(tokens) if least <= len(t) <= most]
+            if own:
+                self.masks.append((k, mask))
+                parts += own
+        h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.at = h[order].astype(np.uint64), item[order], at[order]
         self.bits = max(16, int(len(h)).bit_length() + 4)
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(self.h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Alignments: item, the word at which its first token would stand, and the document of the hit."""
-        found = []
-        for k, mask in enumerate(MASKS):
+    def hits(self, words: np.ndarray, doc_of: np.ndarray):
+        """(item, place in the item, place in the words) of seeds that are equal, some AT_ONCE at a time."""
+        for k, mask in self.masks:
             h = _seeds(words, mask, k)
             p = np.flatnonzero(self.filter[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
+            p = p[doc_of[p] == doc_of[p + mask[-1]]]
             low, high = np.searchsorted(self.h, h[p], "left"), np.searchsorted(self.h, h[p], "right")
-            n = high - low
-            p, low = np.repeat(p, n), np.repeat(low, n)
-            place = low + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([self.item[place], p - self.at[place], doc_of[p]]))
-        item, start, doc = np.unique(np.concatenate(found, 1), axis=1)
-        return item, start, doc
+            some = np.flatnonzero(high > low)
+            p, low, n = p[some], low[some], (high - low)[some]
+            group = np.cumsum(n) // AT_ONCE
+            for cut in np.split(np.arange(len(p)), np.flatnonzero(np.diff(group)) + 1) if len(p) else ():
+                m = n[cut]
+                place = np.repeat(low[cut] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                yield self.item[place], self.at[place], np.repeat(p[cut], m)
 
 
 def _verified(items: Items, words, lengths):
-    """(document, item, start in document, matched, window, overlap) of each contaminating alignment."""
+    """(document, item, start in words, matched) of each hit with a window around it that agrees."""
     begin = np.cumsum(lengths) - lengths
     doc_of = np.repeat(np.arange(len(lengths)), lengths)
-    all_item, all_start, all_doc = items.hits(words, doc_of)
-    for cut in range(0, len(all_item), 50_000):
-        item, start, own = (x[cut : cut + 50_000] for x in (all_item, all_start, all_doc))
-        span = np.arange(items.widest)
-        place = start[:, None] + span
-        # tokens of other documents do not count: all must lie in the document of the seed's hit
-        ok = (place >= begin[own][:, None]) & (place < (begin + lengths)[own][:, None]) & (span < items.sizes[item][:, None])
-        same = ok & (words[np.where(ok, place, 0)] == items.tokens[np.where(ok, items.starts[item][:, None] + span, 0)])
-        total = np.concatenate([np.zeros((len(item), 1), np.int32), np.cumsum(same, 1, dtype=np.int32)], 1)
-        size = np.minimum(WINDOW, items.sizes[item])
-        stop = np.minimum(span + size[:, None], items.sizes[item][:, None])
-        matched = (np.take_along_axis(total, stop, 1) - total[:, :-1]).max(1)
-        good = np.flatnonzero(matched >= SHARE * size)
-        for g in good.tolist():
-            d = int(own[g])
-            yield d, int(items.ids[item[g]]), int(max(start[g] - begin[d], 0)), int(matched[g]), int(size[g]), int(total[g, -1])
-
-
-def _found(items: Items, texts: list, cache: Tokens) -> list[tuple]:
-    """(place of the text, item, start, matched, window, overlap), the best alignment of each pair."""
-    out, part, first, size = [], [], 0, 0
-
-    def flush():
-        best = {}
-        for d, item, start, matched, window, overlap in _verified(items, np.concatenate(part), np.array([len(x) for x in part])):
-            row = (-matched, -overlap, start, window)
-            best[d, item] = min(best.get((d, item), row), row)
-        out.extend((first + d, item, start, -m, window, -o) for (d, item), (m, o, start, window) in best.items())
-
+    near = np.arange(1 - WINDOW, WINDOW)  # a window that holds the seed lies in this reach
+    for all_item, all_at, all_p in items.hits(words, doc_of):
+        for cut in range(0, len(all_item), AT_ONCE):
+            item, at, p = (x[cut : cut + AT_ONCE] for x in (all_item, all_at, all_p))
+            own = doc_of[p]
+            inside, place = at[:, None] + near, p[:, None] + near
+            ok = (inside >= 0) & (inside < items.sizes[item][:, None]) & (place >= begin[own][:, None]) & (place < (begin + lengths)[own][:, None])
+            same = ok & (words[np.where(ok, place, 0)] == items.tokens[np.where(ok, items.starts[item][:, None] + inside, 0)])
+            total = np.concatenate([np.zeros((len(item), 1), np.int16), np.cumsum(same, 1, dtype=np.int16)], 1)
+            matched = (total[:, WINDOW:] - total[:, :-WINDOW]).max(1)
+            good = np.flatnonzero(SHARE[1] * matched >= SHARE[0] * np.minimum(WINDOW, items.sizes[item]))
+            if len(good):
+                yield own[good], item[good], (p - at)[good], matched[good]
+
+
+def _best(items: Items, words, lengths) -> list[tuple]:
+    """(document, item id, start, matched, window, overlap), a row a document and item."""
+    parts = list(_verified(items, words, lengths))
+    if not parts:
+        return []
+    doc, item, start, matched = (np.concatenate(x) for x in zip(*parts, strict=True))
+    begin = np.cumsum(lengths) - lengths
+    order = np.lexsort((start, -matched, item, doc))
+    doc, item, start, matched = doc[order], item[order], start[order], matched[order]
+    pair = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+    most = matched[pair][np.cumsum(pair) - 1]
+    keep = (matched == most) & np.concatenate(([True], pair[1:] | (start[1:] != start[:-1])))
+    best = {}
+    for d, i, s, m in zip(*(x[keep].tolist() for x in (doc, item, start, matched)), strict=True):
+        a, b = max(s, begin[d]), min(s + items.sizes[i], begin[d] + lengths[d])
+        shift = items.starts[i] - s
+        overlap = int((words[a:b] == items.tokens[a + shift : b + shift]).sum())
+        row = (-overlap, max(s - int(begin[d]), 0), m)
+        best[d, i] = min(best.get((d, i), row), row)
+    return [(d, items.ids[i], s, m, int(min(WINDOW, items.sizes[i])), -o) for (d, i), (o, s, m) in best.items()]
+
+
+def _streams(texts: list, cache: Tokens):
+    """Word streams of about CHUNK words: words, lengths, and the place of the first text."""
+    part, first, size = [], 0, 0
     for i, h in enumerate(C.hashed_words(texts, cache)):
         part.append(h)
         size += len(h)
         if size >= CHUNK:
-            flush()
+            yield np.concatenate(part), np.array([len(x) for x in part]), first
             part, first, size = [], i + 1, 0
     if part:
-        flush()
-    return sorted(out)
+        yield np.concatenate(part), np.array([len(x) for x in part]), first
 
 
 def _matches(items):
@@ -140,27 +171,34 @@ def _matches(items):
         cache = Tokens()
         for batch in batches:
             ids = batch.column(0)
-            if rows := _found(items, batch.column(1).to_pylist(), cache):
-                where, *rest = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], names=["doc_id", "item_id", "start", "matched", "window", "overlap"])
+            for words, lengths, first in _streams(batch.column(1).to_pylist(), cache):
+                if rows := _best(items, words, lengths):
+                    where, *rest = zip(*rows, strict=True)
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([first + d for d in where])), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], names=["doc_id", "item_id", "start", "matched", "window", "overlap"])
 
     return run
 
 
 def _parts(benchmark: DataFrame):
-    """The benchmark's items, about PART words at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    """Number of parts, and a generator of the benchmark's items, about PART words at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // (6 * PART)) + 1
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
-        yield Items([r["item_id"] for r in rows], [bytes(r["text"]) for r in rows])
+
+    def each():
+        for part in range(parts):
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # about PART words
+            yield Items([r["item_id"] for r in rows], [bytes(r["text"]) for r in rows])
+
+    return parts, each()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document row and item that overlap: the best window's matches and the equal tokens of the whole alignment."""
-    return reduce(DataFrame.unionAll, [C.mapped(C.texts_of(docs), _matches(items), SCHEMA) for items in _parts(benchmark)])
+    """One row for each document row and item row that overlap: the best window's matches and the equal tokens of the whole alignment."""
+    parts, each = _parts(benchmark)
+    found = (C.mapped(C.texts_of(docs), _matches(items), SCHEMA) for items in each)
+    return reduce(DataFrame.unionAll, (f if parts == 1 else C.written(f, "contaminated") for f in found))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -172,13 +210,17 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             def accepts(texts):
                 ok = np.ones(len(texts), bool)
-                ok[[row[0] for row in _found(items, texts, cache)]] = False
+                for words, lengths, first in _streams(texts, cache):
+                    for doc, *_ in _verified(items, words, lengths):
+                        ok[first + doc] = False
                 return ok
 
             return accepts
 
         return judge
 
-    for items in _parts(benchmark):
+    parts, each = _parts(benchmark)
+    for items in each:
         docs = C.filtered(docs, judge_by(items))
+        docs = docs if parts == 1 else C.written(docs, "clean")
     return docs
