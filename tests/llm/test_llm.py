@@ -332,6 +332,21 @@ def test_graded_group_and_version_chain(spark):
     assert _similar(spark, texts) == _jaccard_components(texts)
 
 
+def test_template_group_in_rounds(spark, monkeypatch):
+    """Pages of one template, similar and not, whose keys hold more nodes than a round has hubs; members dealt in small parts."""
+    monkeypatch.setattr(simhash, "HUBS", (1, 3))
+    monkeypatch.setattr(simhash, "FAN", 5)
+    r, texts = random.Random(13), []
+    for i in range(70):
+        own = [f"t{j}" for j in range(200)]
+        for at in r.sample(range(0, 200, 5), r.choice((1, 3, 3, 4))):
+            own[at] = f"o{r.randrange(40)}"
+        texts.append(" ".join(own + [f"own{i % 50}x{j}" for j in range(r.choice((0, 15, 25)))]))
+    want = _jaccard_components(texts)
+    assert len(want) > 3 and max(map(len, want)) > 10
+    assert _similar(spark, texts) == want
+
+
 def test_long_texts_near_the_limit(spark):
     """Pairs of 1500 words just over and just under the similarity: decided on all shingles, not on a sample."""
     r, texts = random.Random(21), []

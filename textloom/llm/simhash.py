@@ -32,8 +32,9 @@ from textloom.llm import common as C
 SEGMENTS, HOT, SEED = 16, 64, 42
 WIDTH = 64 // SEGMENTS
 LINKS = "a long, b long"
-#: Of similar_rows: band keys, and least hashes in each.
-BANDS, ROWS = 10, 4
+#: Of similar_rows: band keys, and least hashes in each; members compared with one hub in a task; hubs of a key in each round.
+BANDS, ROWS, FAN = 20, 4, 256
+HUBS = (1, 16, 256)
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -208,118 +209,132 @@ def _shingles(h: np.ndarray, shingle: int) -> np.ndarray:
 
 
 def _sketched(shingle):
+    salts = C.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+
+    def least(sets):
+        """Band keys of some sets that are not empty."""
+        grams, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+        starts = np.cumsum(sizes) - sizes
+        found = np.stack([np.minimum.reduceat((grams ^ s) * np.uint64(C.MULT), starts) for s in salts], 1).reshape(len(sets), BANDS, ROWS)
+        h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sets), BANDS)).copy()
+        for row in range(ROWS):
+            h = C.mixed(h * np.uint64(C.MULT) + found[:, :, row])
+        return h.view(np.int64).tolist()
+
     def run(batches):
         cache = C.WordHashes()
-        salts = C.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
-            for h in C.hashed_words((t.lower() if t else t for t in texts), cache):
-                if not len(h):
-                    out.append((0, [0]))
-                    continue
+            nodes, keys, waiting, size = [], [], [], 0
+            for i, h in enumerate(C.hashed_words((t.lower() if t else t for t in batch.column(1).to_pylist()), cache)):
                 grams = _shingles(h, shingle)
-                least = np.array([((grams ^ s) * np.uint64(C.MULT)).min() for s in salts]).reshape(BANDS, ROWS)
-                keys = C.mixed(C.Rolling(least.ravel()).raw(ROWS)[::ROWS] + np.arange(BANDS, dtype=np.uint64))
-                out.append((np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).astype(np.int64), keys.view(np.int64).tolist()))
-            node, keys = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "keys"])
+                nodes.append(xxhash.xxh64_intdigest(grams.tobytes()) if len(grams) else 0)
+                keys.append([0])
+                if len(grams):
+                    waiting.append((i, grams))
+                    size += len(grams)
+                if waiting and (size >= 1 << 16 or i + 1 == batch.num_rows):
+                    for (j, _), own in zip(waiting, least([g for _, g in waiting]), strict=True):
+                        keys[j] = own
+                    waiting, size = [], 0
+            if waiting:
+                for (j, _), own in zip(waiting, least([g for _, g in waiting]), strict=True):
+                    keys[j] = own
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "keys"])
 
     return run
 
 
-def connected(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The first member of each set's component; sets link at that Jaccard similarity of all their elements.
-
-    Each set reached looks for partners among the sets not reached yet.  Similar
-    sets share one of their few rarest elements (prefix filter), by which an
-    index finds them; then all elements decide.  The index is built anew
-    whenever half of its sets are reached.
-    """
-    n = np.array([len(s) for s in sets], np.int64)
-    starts, owner = np.cumsum(n) - n, np.repeat(np.arange(len(sets), dtype=np.int32), n)
-    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(often), np.int32)
-    rank[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.int32)
-    token = rank[token]
-    token = token[np.lexsort((token, owner))]
-    lead = n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
-    leading = np.arange(len(token)) - np.repeat(starts, n) < np.repeat(lead, n)
-    label, mine = np.full(len(sets), -1), np.zeros(len(often), np.int32)
-    left, built = len(sets), None
-    for first in range(len(sets)):
-        if label[first] >= 0:
-            continue
-        label[first], left, todo = first, left - 1, [first]
-        while todo and left:
-            x = todo.pop()
-            if built is None or 2 * left < built:
-                some = np.flatnonzero(leading & (label < 0)[owner])
-                some, built = some[np.argsort(token[some], kind="stable")], left
-                at, who = np.concatenate(([0], np.cumsum(np.bincount(token[some], minlength=len(often))))), owner[some]
-            own = token[starts[x] : starts[x] + n[x]]
-            low, high = at[own[: lead[x]]], at[own[: lead[x]] + 1]
-            spans = [who[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b]
-            near = np.unique(np.concatenate(spans)) if spans else who[:0]
-            near = near[(label[near] < 0) & (np.minimum(n[near], n[x]) >= similarity * np.maximum(n[near], n[x]) - 1e-6)]
-            mine[own] = 1
-            for cut in range(0, len(near), 2000):
-                part = near[cut : cut + 2000]
-                theirs = mine[np.concatenate([token[a:b] for a, b in zip(starts[part].tolist(), (starts + n)[part].tolist(), strict=True)])]
-                both = np.add.reduceat(theirs, np.cumsum(n[part]) - n[part])
-                good = part[both / (n[part] + n[x] - both) >= similarity]
-                label[good] = first
-                left -= len(good)
-                todo += good.tolist()
-            mine[own] = 0
-    return label
-
-
-def _judged(shingle, similarity):
-    """Each root's nodes, which come together, to their components."""
-
-    def judge(nodes, sets):
-        label = connected(sets, similarity)
-        nodes = np.array(nodes, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
+def _compared(shingle, similarity):
+    """Links of each hub, which comes first, with the members behind it that are similar on their whole sets."""
 
     def run(batches):
-        root, nodes, sets, cache = None, [], [], C.WordHashes()
+        cache, a, hub = C.WordHashes(), None, None
         for batch in batches:
-            for r, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != root and nodes:
-                    yield judge(nodes, sets)
-                    nodes, sets = [], []
-                root = r
-                if not nodes or nodes[-1] != node:
-                    nodes.append(node)
-                    sets.append(_shingles(*C.hashed_words([text.lower() if text else text], cache), shingle))
-        if nodes:
-            yield judge(nodes, sets)
+            found = []
+            for own, member, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (h,) = C.hashed_words([text.lower() if text else text], cache)
+                grams = _shingles(h, shingle)
+                if not member:
+                    a, hub = own, grams
+                elif a == own and min(len(grams), len(hub)) >= similarity * max(len(grams), len(hub)) - 1e-6:
+                    both = len(np.intersect1d(grams, hub, assume_unique=True))
+                    if both / (len(grams) + len(hub) - both) >= similarity:
+                        found.append((a, node))
+            if found:
+                yield _links(*np.array(found, np.int64).T)
 
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar; texts: node and text.  A hub's members are dealt FAN at a time, each part with the hub's text."""
+    n = C.buckets(pairs.sparkSession)
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fan"))
+    dealt = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "fan").alias("part"), "b")
+    members = dealt.join(texts, dealt["b"] == texts["node"]).select("a", "part", F.lit(True).alias("member"), "node", "text")
+    parts = size.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("part"))
+    hubs = parts.join(texts, parts["a"] == texts["node"]).select("a", "part", F.lit(False).alias("member"), "node", "text")
+    placed = hubs.unionAll(members).repartition(n, "a", "part").sortWithinPartitions("a", "part", "member")
+    return C.mapped(placed.select("a", "member", "node", "text"), _compared(shingle, similarity), LINKS)
+
+
+def _ordered(a, b):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label and the key's number of nodes, of keys whose nodes are not all in one component yet."""
+    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sizes = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+    return C.written(named.join(sizes.where("lo < hi").select("key", "size"), "key"), "mixed")
+
+
+def _hubs(mixed: DataFrame, most: int) -> DataFrame:
+    """All nodes of keys of at most ``most``, about so many of the others, by a hash; one for a key if most is 1."""
+    if most == 1:
+        return mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "label")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("own"))
+    of = F.ceil(F.col("size") / most)
+    return mixed.where((F.col("size") <= most) | (F.pmod(F.xxhash64("node", "key"), of) == 0)).select("key", F.col("node").alias("hub"), F.col("label").alias("own"))
+
+
 def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text) and root, equal in rows of one group, for each row of docs.
 
     For similarities whose fingerprints differ in more bits than an equal chain
     can index.  Rows of equal shingle sets are one node.  BANDS keys of ROWS
-    least shingle hashes find candidates: nodes joined by shared keys, however
-    many, go to one task, which compares them all on their whole sets.  Null
-    and empty texts are one node.
+    least shingle hashes find candidates (a pair at the limit of 0.8 shares one
+    with probability 0.99997); whole shingle sets decide each link.  First each
+    node is compared with one hub of its keys; then only keys whose nodes are
+    not yet one component go on, with more hubs a round, until each key is one
+    component or all its nodes were hubs.  So large groups of copies cost a
+    comparison or two a node, small keys are compared in full, and no task ever
+    holds a group.  Null and empty texts are one node, linked with no other.
     """
-    n = C.buckets(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
     sketches = C.written(C.mapped(texts, _sketched(shingle), "doc_id long, text_hash long, node long, keys array<long>"), "sketches")
     keys = sketches.select("node", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    met = components(keys.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct())
-    one = sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).join(met, "node").select(F.col("r.doc_id").alias("i"), F.col("r.text_hash").alias("h"), F.col("node").alias("x"), F.col("label").alias("root"))
-    one = C.written(one, "candidates")
+    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key")
+    members = C.written(keys.join(shared, "key").distinct(), "members")
+    met = members.select("node").distinct()
+    one = sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).join(met, "node").select(F.col("r.doc_id").alias("i"), F.col("r.text_hash").alias("h"), "node")
     same = texts["doc_id"].eqNullSafe(one["i"]) & (texts["text_hash"] == one["h"])
-    met = texts.join(one, same).select("root", "x", "text").repartition(n, "root").sortWithinPartitions("root", "x")
-    judged = C.mapped(met, _judged(shingle, similarity), "node long, label long")
-    return C.written(sketches.select("doc_id", "text_hash", "node").join(judged, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root")), "groups")
+    candidates = C.written(texts.join(one, same).select("node", "text").dropDuplicates(["node"]), "candidates")
+
+    hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("hub"))).alias("hub"))
+    first = members.join(hub, "key").groupBy("node").agg(F.min("hub").alias("hub")).where("hub.hub <> node").select(F.col("hub.hub").alias("a"), F.col("node").alias("b"))
+    links = C.written(_verified(C.written(first, "pairs"), candidates, shingle, similarity), "links")
+    turn = 0
+    while True:
+        labels = components(links)
+        members = _mixed(members, labels)
+        if members.isEmpty():
+            break
+        most = HUBS[turn] if turn < len(HUBS) else HUBS[-1] * 16 ** (turn + 1 - len(HUBS))
+        hubs = _hubs(members, most)
+        pairs = hubs.join(members, "key").where("own <> label").select(*_ordered("hub", "node")).distinct()
+        links = C.written(links.unionAll(_verified(C.written(pairs, "pairs"), candidates, shingle, similarity)), "links")
+        members, turn = members.where(F.col("size") > max(2, most)).select("key", "node"), turn + 1
+    return C.written(sketches.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root")), "groups")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
