@@ -1,7 +1,7 @@
 """Hilbert-curve sharding, with DataFrame functions only.
 
 Size, language and source are quantised into 16 levels each by their own
-quantiles (strings by their first bytes, so levels keep order), the cell's
+quantiles (strings whole, by the ranks of their distinct values), the cell's
 index on a three-dimensional Hilbert curve orders the rows, and equal runs of
 the order are the shards.  Neighbours on the curve are near in all three
 dimensions, so each shard has narrow ranges of them and readers skip shards by
@@ -55,46 +55,58 @@ def hilbert_index(cell: tuple[int, ...], bits: int = BITS) -> int:
     return index
 
 
-def _curve() -> list[int]:
+def _curve() -> bytes:
+    """Two bytes for each cell, so one literal is the table."""
     side = 1 << BITS
-    return [hilbert_index((a, b, c)) for a in range(side) for b in range(side) for c in range(side)]
+    return b"".join(hilbert_index((a, b, c)).to_bytes(2, "big") for a in range(side) for b in range(side) for c in range(side))
 
 
-def _number(c: Column) -> Column:
-    """The first six bytes of a string as a number of the same order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(c.cast("string"), F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+def _ranked(df: DataFrame, weight: Column) -> DataFrame:
+    """df, whose rows are sorted within and across partitions and written with their place ``at``, with the weights before each row and in all."""
+    df = df.withColumn("part", F.shiftright("at", 33)).withColumn("weight", weight)
+    sizes = df.groupBy("part").agg(F.sum("weight").alias("sum"))  # a row a partition
+    before = Window.orderBy("part")
+    offsets = sizes.select("part", (F.sum("sum").over(before) - F.col("sum")).alias("offset"), F.sum("sum").over(Window.partitionBy()).alias("total"))
+    return df.join(F.broadcast(offsets), "part")
+
+
+def string_cuts(rows: DataFrame, names: tuple[str, ...], side: int) -> dict[str, list[str]]:
+    """The values at which the rows, sorted by each column's whole string, reach each ``side``-th part; exact, over all rows."""
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(n).alias("value")) for i, n in enumerate(names)))).alias("x")).select("x.*")
+    counts = each.groupBy("dim", "value").agg(F.count("*").alias("n"))
+    placed = counts.repartitionByRange(C.buckets(rows), "dim", "value").sortWithinPartitions("dim", "value")
+    ranked = _ranked(C.written(placed.withColumn("at", F.monotonically_increasing_id()), "values"), F.col("n"))
+    own = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows_in_all = F.col("total") / len(names)
+    upto = F.col("offset") + F.sum("n").over(own) - F.col("dim") * rows_in_all
+    reached = ranked.select("dim", "value", F.floor((upto - F.col("n")) * side / rows_in_all).alias("a"), F.floor(upto * side / rows_in_all).alias("b"))
+    found = reached.where(f"a < b AND a < {side - 1}").select("dim", "value").collect()  # fewer than ``side`` for each column
+    return {n: sorted(r["value"] for r in found if r["dim"] == i) for i, n in enumerate(names)}
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and curve for each row of docs."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        _number(F.col("lang")).alias("x_lang"),
-        _number(F.col("source")).alias("x_source"),
+        *(F.coalesce(F.col(d).cast("string"), F.lit("")).alias(f"x_{d}") for d in ("lang", "source")),
     )
-    dims = ("size", "x_lang", "x_source")
     side = 1 << BITS
-    cuts = rows.agg(*(F.percentile_approx(d, [i / side for i in range(1, side)], 10_000).alias(d) for d in dims)).first()
+    sizes = rows.agg(F.percentile_approx("size", [i / side for i in range(1, side)], 10_000).alias("size")).first()["size"]
+    cuts = {"size": sorted(set(sizes or []))} | string_cuts(rows, ("x_lang", "x_source"), side)
 
     def level(d):
-        found = sorted(set(cuts[d] or []))
-        return F.size(F.filter(F.array(*(F.lit(int(c)) for c in found)), lambda c: c < F.col(d))) if found else F.lit(0)
+        return F.size(F.filter(F.array(*(F.lit(c) for c in cuts[d])), lambda c: c < F.col(d))) if cuts[d] else F.lit(0)
 
     cell = (level("size") * side + level("x_lang")) * side + level("x_source")
-    curve = F.element_at(F.lit(_curve()), (cell + 1).cast("int"))
+    curve = F.conv(F.hex(F.substring(F.lit(_curve()), 2 * cell + 1, F.lit(2))), 16, 10).cast("int")
     order = ("curve", "mix", "doc_id", "text_crc32", "size")
-    rows = rows.select("doc_id", "size", "text_crc32", curve.alias("curve")).withColumn("mix", F.xxhash64("doc_id"))
-    placed = rows.repartitionByRange(C.buckets(spark), *order).sortWithinPartitions(*order)
+    keyed = rows.select("doc_id", "size", "text_crc32", curve.alias("curve")).withColumn("mix", F.xxhash64("doc_id"))
+    placed = keyed.repartitionByRange(C.buckets(docs), *order).sortWithinPartitions(*order)
     placed = C.written(placed.withColumn("at", F.monotonically_increasing_id()).drop("mix"), "placed")
-    part = F.shiftright("at", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row a partition
-    before = Window.orderBy("part")
-    offsets = sizes.select("part", (F.sum("n").over(before) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    ranked = placed.withColumn("part", part).join(offsets, "part").withColumn("rank", F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1))
+    ranked = _ranked(placed, F.lit(1)).withColumn("rank", F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1))
     shard = F.expr(f"rank * {shards} div total")
     start = F.expr(f"(shard * total + {shards} - 1) div {shards}")
     return ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
