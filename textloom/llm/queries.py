@@ -22,7 +22,7 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted")
+    return found.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,16 @@ hardly any other document of the sample.  Scoring runs forward-backward over
 every whole text, all documents of a batch in step, and turns marginals into
 the document's score by a logistic fit on the largest and the summed marginal.
 
-Fitting uses at most ``SAMPLE`` labelled rows (least hashes of doc_id), never
-held-out ones; everything else covers all rows.  Neither labels nor language,
-source or doc_id enter a score.
+Fitting uses at most ``SAMPLE`` labelled rows (least hashes of doc_id) of at most
+``BYTES`` of text together, never held-out ones; of their sequences of
+``SEQUENCE`` tokens all with a toxic token, and of the others evenly spread ones,
+``PLAIN`` for each of those or 500.  Everything else covers all rows.  Neither
+labels nor language, source or doc_id enter a score.
 
 Null or empty text: the score of no toxic token.  Without labelled rows of both
-kinds every score is 0.  Repeated rows each get a row; the other columns of
-docs are ignored, as are labels with nulls.
+kinds every score is 0.  Repeated rows each get a row; a null doc_id has no
+label and is not held out; the other columns of docs are ignored, as are labels
+with nulls.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
 
-SAMPLE, FOLDS = 4000, 5
+SAMPLE, BYTES, PLAIN, FOLDS = 4000, 48 << 20, 2, 5
 #: Least share of toxic documents among those of a toxic word or beginning, expected number of chance finds, tokens in a training sequence.
 PURE, CHANCE, SEQUENCE = 0.7, 0.05, 64
 SPANS = "array<struct<start:int,end:int>>"
@@ -150,7 +153,7 @@ def fitted(docs: list[bytes], labels: list[int], rounds: int = 80, rate: float =
             own = [known.setdefault(w, features(w)) for w in words[at : at + SEQUENCE]]
             tags = [int(bool(label) and not toxic.isdisjoint(f)) for f in own]
             (with_tag if any(tags) else without).append((own, tags))
-    step = max(1, len(without) // max(500, 2 * len(with_tag)))
+    step = max(1, len(without) // max(500, PLAIN * len(with_tag)))
     sequences = with_tag + without[::step]
     number: dict[str, int] = {}
     tokens = [f for own, _ in sequences for f in own]
@@ -201,7 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
     """The field fitted on at most ``sample`` labelled rows outside the held-out fold."""
     marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(FOLDS, 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = C.texts_of(docs).join(chosen, "doc_id").orderBy("doc_id", "label").collect()  # at most ``sample`` labels
+    found = C.texts_of(docs).join(F.broadcast(chosen), "doc_id").withColumn("size", F.octet_length("text"))
+    order = (F.xxhash64("doc_id"), "doc_id", "label", "size")
+    sizes = found.select("doc_id", "label", "size").orderBy(*order).limit(sample).select(F.sum(F.coalesce("size", F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    count = sizes.where(F.col("sum") <= BYTES).count()
+    rows = found.orderBy(*order).limit(count).orderBy("doc_id", "label", "text").collect() if count else []  # at most ``sample`` rows, BYTES together
     return fitted([bytes(r["text"] or b"") for r in rows], [r["label"] for r in rows])
 
 
@@ -235,7 +242,7 @@ def scores(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataFrame:
                 hit[np.repeat(np.arange(len(own)), lengths)[flags]] = True
                 spans = [_spans(t, flags[a : a + n]) if x else [] for t, a, n, x in zip(own, starts.tolist(), lengths.tolist(), hit.tolist(), strict=True)]
                 ids = batch.column(0).slice(cut, len(own))
-                held = pa.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == 0 for i in ids.to_pylist()])
+                held = pa.array([i is not None and zlib.crc32(str(i).encode()) % FOLDS == 0 for i in ids.to_pylist()])
                 yield pa.RecordBatch.from_arrays([ids, held, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
     return C.mapped(C.texts_of(docs), run, SCHEMA)
