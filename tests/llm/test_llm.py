@@ -95,6 +95,30 @@ def test_hilbert(docs, none):
     assert hilbert_sharding.hilbert_shards(none).count() == 0
 
 
+def test_hilbert_levels_and_pruning(spark):
+    """row -> levels of whole strings -> cell -> curve, by brute force; shards have narrow ranges, so a filter skips most."""
+    r = random.Random(8)
+    rows = [(i, "x" * int(r.expovariate(0.02)), r.choice(["de", "en", "en", "fr", None]), None if i % 50 == 0 else "https://site%d.org" % (0 if r.random() < 0.3 else r.randrange(300))) for i in range(3000)]
+    got = {x.doc_id: x for x in hilbert_sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    dims = [[len(t) + 1 for _, t, _, _ in rows], [x or "" for _, _, x, _ in rows], [s or "" for *_, s in rows]]
+    cuts = []
+    for values in dims:
+        ordered = sorted(values)
+        cuts.append(sorted({ordered[-(-i * 3000 // 16) - 1] for i in range(1, 16)}))
+    levels = [tuple(sum(c < v for c in cut) for cut, v in zip(cuts, x, strict=True)) for x in zip(*dims, strict=True)]
+    assert all(got[i].curve == hilbert_sharding.hilbert_index(x) for i, x in enumerate(levels))
+    assert len({x[2] for x in levels}) > 10  # sources with a common beginning keep their dimension
+
+    def read(of, value):  # shards whose minimum and maximum let the value through
+        by = collections.defaultdict(list)
+        for i in range(3000):
+            by[got[i].shard].append(dims[of][i])
+        return sum(min(x) <= value <= max(x) for x in by.values())
+
+    assert np.mean([read(2, f"https://site{i}.org") for i in range(1, 300)]) < 9
+    assert np.mean([read(0, n) for n in range(1, 200, 5)]) < 14
+
+
 def test_crf(spark, none):
     r = random.Random(5)
     rows, marks = [], []
@@ -105,8 +129,14 @@ def test_crf(spark, none):
             w.insert(r.randrange(len(w)), r.choice(["zounds", "blasted", "zounder"]))
         rows.append((i, " ".join(w)))
         marks.append((i, toxic))
-    df, labels = spark.createDataFrame([*rows, (998, None), (999, "")], "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
-    found = {x.doc_id: x for x in toxicity.toxicity(df, labels).collect()}
+    long = " ".join(r.choice(WORDS) for _ in range(30_000)) + " blasted"
+    extra = [(998, None), (999, ""), (1000, long), (None, "zounds"), rows[0], rows[0]]
+    df, labels = spark.createDataFrame([(*x, 7.0, "z") for x in [*rows, *extra]], "doc_id long, text string, score double, spans string"), spark.createDataFrame([*marks, (None, 1), (5, None), marks[0]], "doc_id long, toxic int")
+    all_rows = toxicity.toxicity(df, labels).collect()
+    assert len(all_rows) == 406 and len({(x.score, x.predicted, str(x.spans)) for x in all_rows if x.doc_id == 0}) == 1
+    assert next(x for x in all_rows if x.doc_id is None).held_out is False
+    assert [long[s.start : s.end] for s in next(x for x in all_rows if x.doc_id == 1000).spans] == ["blasted"]
+    found = {x.doc_id: x for x in all_rows if x.doc_id is not None and x.doc_id < 1000}
     assert all(x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= x.score <= 1 for i, x in found.items())
     held = [(found[i].predicted, t) for i, t in marks if found[i].held_out]
     assert np.mean([a == b for a, b in held]) > 0.97 and len(found) == 402
@@ -382,7 +412,9 @@ def test_quality(docs, none):
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://Example.NET/en/1?x#y", "https://a.b.net", "https://a.b.net/x", "http://x.org/fr/", "http://spam-farm.example.org/en/", "http://notnet/", "http://example.com/de/é", "x://h?//", "http://CHEAP-PILLS.example.com", "http://s.xxx/a", "http://e.com/" + "a" * 5000]
-    rows = url_filters.url_verdicts(spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, verdict int")).orderBy("page_id").collect()
+    given = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, verdict int")
+    rows = url_filters.url_verdicts(given).orderBy("page_id").collect()
+    assert url_filters.url_verdicts(given.unionAll(given)).count() == 2 * len(urls) and url_filters.url_verdicts(given.limit(0)).count() == 0
     assert [(r.host, r.rule, r.verdict) for r in rows] == [
         ("", None, "allow"), ("", None, "allow"), ("", None, "allow"), ("example.net", "example.net/en/", "allow"), ("a.b.net", None, "allow"), ("a.b.net", "net/", "block"), ("x.org", "org/fr/", "allow"),
         ("spam-farm.example.org", None, "block"), ("notnet", None, "allow"), ("example.com", "example.com/de/", "block"), ("h", None, "allow"), ("cheap-pills.example.com", None, "block"), ("s.xxx", None, "block"), ("e.com", None, "allow"),
@@ -394,16 +426,29 @@ def test_shift_and_by_fnmatch():
     globs = ["".join(r.choice("ab*?") for _ in range(r.randint(1, 30))) for _ in range(20)]
     for some in ([g] for g in globs):
         rule = re.compile("".join({"*": ".*", "?": "."}.get(c, c) for c in some[0]), re.S)
-        texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 12))).encode() for _ in range(200)]
+        texts = ["".join(r.choice("abbaé漢") for _ in range(r.randint(0, 12))).encode() for _ in range(200)]
         assert url_filters.ShiftAnd(some).matches(texts).tolist() == [bool(rule.fullmatch(t.decode())) for t in texts]
     texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 40))).encode() for _ in range(200)]
     each = np.any([url_filters.ShiftAnd([g]).matches(texts) for g in globs], axis=0)
     assert url_filters.ShiftAnd(globs).matches(texts).tolist() == each.tolist()
 
 
+def test_url_rules_by_all_rules():
+    r = random.Random(4)
+    names = [".".join(r.choice("abc") for _ in range(r.randint(1, 3))) for _ in range(30)]
+    rules = list({n + "/" + "".join(r.choice("xy/") for _ in range(r.randint(0, 3))): r.choice(("allow", "block")) for n in names}.items())
+    rules, known = [(v, k) for k, v in rules], None
+    known = url_filters.Rules(rules)
+    for _ in range(2000):
+        host, path = ".".join(r.choice("abc") for _ in range(r.randint(1, 4))), r.choice(("", "/" + "".join(r.choice("xy/") for _ in range(3))))
+        fits = [(-len(k), i, k, v) for i, (v, k) in enumerate(rules) for n, _, p in [k.partition("/")] if (host == n or host.endswith("." + n)) and path.startswith("/" + p)]
+        assert known.of(host, path) == (min(fits)[2:] if fits else (None, None))
+
+
 def test_sstable(docs, none, tmp_path):
     library = tokens.encoder(tokens.default_path()).tokenizer
-    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    rows = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h))]
     at, want = 0, collections.Counter()
     for i, t in rows:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")

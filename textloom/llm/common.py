@@ -2,8 +2,8 @@
 
 Large exchanges move *packed* rows ``(k int, v binary)``: a map task deals its
 entries to ``n`` buckets and sends one binary block to each, so the JVM handles
-a few large rows instead of one row per word.  ``n`` is the session's number of
-shuffle partitions, so a bucket's size does not depend on the size of the data.
+a few large rows instead of one row per word.  ``n`` follows the input's size in
+bytes, so a bucket's size does not depend on the size of the data.
 """
 
 from __future__ import annotations
@@ -23,19 +23,23 @@ from pyspark.sql import functions as F
 
 PACKED = "k int, v binary"
 ROWS_A_BATCH = 1500
+#: Bytes of compressed input in a bucket.
+BUCKET = 16 << 20
 #: Stands for a null doc_id while rows are ordered; null ids come last.
 NO_ID = np.iinfo(np.int64).max
 MULT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
-def buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def parts(spark: SparkSession, size: int, each: int) -> int:
     """Tasks of about ``each`` bytes for ``size`` bytes, and as many as the session's shuffle partitions at least."""
-    return max(buckets(spark), -(-int(size) // each), 1)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // each), 1)
+
+
+def buckets(df: DataFrame, each: int = BUCKET) -> int:
+    """Buckets of about ``each`` bytes by the optimizer's size of df; rows whose size it doesn't know get the session's shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return parts(df.sparkSession, size if size < 1 << 60 else 0, each)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -169,7 +169,7 @@ def linked(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp``, enough to connect all that are within max_bits."""
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2")
-    n = C.buckets(fps.sparkSession)
+    n = C.buckets(fps)
     keys = fps.select("fp").mapInArrow(_keys(max_bits), "key long, fp long")
     hot = keys.groupBy("key").count().where(F.col("count") > HOT).select("key")
     cold = keys.join(hot, "key", "left_anti").repartition(n, "key").mapInArrow(_pairs(max_bits), LINKS)
@@ -268,7 +268,7 @@ def _compared(shingle, similarity):
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar; texts: node and text.  A hub's members are dealt FAN at a time, each part with the hub's text."""
-    n = C.buckets(pairs.sparkSession)
+    n = C.buckets(texts)
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fan"))
     dealt = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "fan").alias("part"), "b")
     members = dealt.join(texts, dealt["b"] == texts["node"]).select("a", "part", F.lit(True).alias("member"), "node", "text")
@@ -290,11 +290,11 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _hubs(mixed: DataFrame, most: int) -> DataFrame:
-    """All nodes of keys of at most ``most``, about so many of the others, by a hash; one for a key if most is 1."""
+    """All nodes of keys of at most ``most``, about so many of the others, by a hash that is the same in each key; one for a key if most is 1."""
     if most == 1:
         return mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "label")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("own"))
     of = F.ceil(F.col("size") / most)
-    return mixed.where((F.col("size") <= most) | (F.pmod(F.xxhash64("node", "key"), of) == 0)).select("key", F.col("node").alias("hub"), F.col("label").alias("own"))
+    return mixed.where((F.col("size") <= most) | (F.pmod(F.xxhash64("node"), of) == 0)).select("key", F.col("node").alias("hub"), F.col("label").alias("own"))
 
 
 def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -16,7 +16,8 @@ by binary search, and reads that block only.
 Files go to ``out_dir`` by any filesystem that pyarrow knows from the URI.
 Each task attempt writes its own file; the table of files names the ones that
 count, so a lost executor or a second attempt leaves no wrong row.  Null text:
-no ids but the end id.  Rows that repeat a doc_id are stored each, by text.
+no ids but the end id.  Rows that repeat a doc_id are stored each, by a hash of
+the text; many of them may go on in the next file.
 """
 
 from __future__ import annotations
@@ -202,7 +203,8 @@ def write_shards(docs: DataFrame, out_dir: str, end_id: int = 2, tokenizer: str
 
     order = F.col("doc_id").asc_nulls_last()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = rows.repartitionByRange(C.buckets(docs.sparkSession), order).sortWithinPartitions(order, "text")
+    rows = rows.withColumn("mix", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())  # ``at`` parts rows that are equal, so it may change
+    placed = rows.repartitionByRange(C.buckets(docs), order, "mix", "at").sortWithinPartitions(order, "mix", "at").drop("mix", "at")
     return C.written(C.mapped(placed, run, FILES), "shard-files")
 
 
@@ -222,7 +224,7 @@ def read_shards(files: DataFrame, out_dir: str) -> DataFrame:
 
     before = Window.orderBy("part")  # one row a file
     places = files.withColumn("start", F.sum("n_ids").over(before) - F.col("n_ids"))
-    n = C.buckets(files.sparkSession)
+    n = C.parts(files.sparkSession, 0, 1)
     return places.select("path", "start", "part").repartitionById(n, F.pmod(F.col("part"), F.lit(n)).cast("int")).select("path", "start").mapInArrow(run, SCHEMA.replace("local_start", "start"))
 
 

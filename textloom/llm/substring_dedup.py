@@ -337,10 +337,9 @@ def _rows(out):
 
 def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, text_hash (Spark's xxhash64 of the text, "" for null) and, with_text, the kept text and the removed spans of words."""
-    spark = docs.sparkSession
-    n = C.buckets(spark)
+    n = C.buckets(docs)
     texts = C.texts_of(docs)
-    cuts = texts.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("c")).first()["c"] if n > 1 else []
+    cuts = texts.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 2 * n)).alias("c")).first()["c"] if n > 1 else []
     bounds = np.array(sorted(cuts or []), np.int64)
     sent = C.mapped(texts, _send_anchors(bounds, n), C.PACKED).repartitionById(n, F.col("k"))
     anchors = sent.mapInArrow(_recurring_anchors, C.PACKED).mapInArrow(_tagged(b"A"), C.PACKED)
