@@ -227,8 +227,8 @@ def oracle_sql() -> dict[str, str]:
     insults = " + ".join(f"(length(line) - length(replace(line, '{w}', ''))) // {len(w)}" for w in INSULTS)
     selectors = ", ".join(f"('{x.name}', '{x.kind}', '{s}')" for x in REGISTRY.values() for s in (*x.names, *x.extensions, *x.headers))
     fuzzy = f"""{lines}, words AS (SELECT unnest(regexp_extract_all(line, '{L.chunk_regex(None)}')) AS token FROM lines),
-ascii AS (SELECT token, levenshtein(token, '{FUZZY}') AS d, least(length(token), {len(FUZZY)}) AS m FROM words WHERE regexp_matches(token, '^[ -~]+$'))
-SELECT token, count(*) AS n FROM ascii WHERE CASE WHEN m < 5 THEN d < 3 ELSE d < m * 40 // 100 END GROUP BY token"""
+near AS (SELECT token, levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', chr(1), 'g'), '{FUZZY}') AS d, least(length(token), {len(FUZZY)}) AS m FROM words)
+SELECT token, count(*) AS n FROM near WHERE CASE WHEN m < 5 THEN d < 3 ELSE d < m * 40 // 100 END GROUP BY token"""
     return {
         "lit_lines": _hits("documents", "the"),
         "lit_icase": _hits("documents", "the", "lower(text)"),

@@ -152,9 +152,34 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Parts whose places are added up in one go; more go block by block, so the cost stays in proportion to a line's length.
+BLOCK = 2048
+
+
 def places(parts: Column) -> Column:
-    """1-based columns at which parts of a line start, and the column after the last."""
-    return F.aggregate(parts, F.array(F.lit(1)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    """1-based columns at which parts of a line start, and the column after the last.
+
+    The sums are gathered in a string: growing an array copies it value by value.
+    """
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["at"] + F.length(x)
+        return F.struct(F.concat(a["said"], F.lit(","), at.cast("string")).alias("said"), at.alias("at"))
+
+    def start(at: Column) -> Column:
+        return F.struct(F.lit("").alias("said"), at.alias("at"))
+
+    def summed(ps: Column) -> Column:
+        def block(a: Column, i: Column) -> Column:
+            own = F.aggregate(F.slice(ps, i * BLOCK + 1, F.lit(BLOCK)), start(a["at"]), step)
+            return bound(own, lambda o: F.struct(F.concat(a["said"], o["said"]).alias("said"), o["at"].alias("at")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / BLOCK).cast("int"))
+        long = F.aggregate(blocks, start(F.lit(1)), block)
+        return F.when(F.size(ps) <= BLOCK, F.aggregate(ps, start(F.lit(1)), step)).otherwise(long)["said"]
+
+    said = F.concat(F.lit("1"), bound(parts, summed))
+    return F.transform(F.split(said, ","), lambda x: x.cast("int"))
 
 
 def placed(parts: Column) -> Column:
@@ -162,65 +187,98 @@ def placed(parts: Column) -> Column:
     return bound(parts, lambda ps: F.zip_with(ps, F.slice(places(ps), F.lit(1), F.size(ps)), lambda p, c: F.struct(p.alias("token"), c.alias("col"))))
 
 
+def words(line: Column, lang: Language | None) -> Column:
+    """Words and runs of white space of a line, in turn."""
+    return F.regexp_extract_all(line, F.lit(spaced(lang)), F.lit(0))
+
+
+def is_space(token: Column) -> Column:
+    return token.rlike(rf"^[{SPACE}]+$")
+
+
 def chunks(line: Column, lang: Language | None) -> Column:
     """Words of a line with their columns."""
-    return F.filter(placed(F.regexp_extract_all(line, F.lit(spaced(lang)), F.lit(0))), lambda c: ~c["token"].rlike(rf"^[{SPACE}]+$"))
+    return F.filter(placed(words(line, lang)), lambda c: ~is_space(c["token"]))
 
 
 MARK = "\x02"
 
 
-def tokens(text: Column, lang: Language, strict: bool = False) -> Column:
-    """array<struct<type, text, line_no, col>> of a whole text, comments left out.
+def token_lines(text: Column, lang: Language, strict: bool = False, may=None) -> Column:
+    """Each line's array<struct<type, text, line_no, col>>, comments left out; only tokens that ``may`` lets through, if given.
 
     Lines are found by marking tokens in the text and splitting it at newlines;
     a token that spans lines stays on its first, its newlines kept as marks.
+    What stands between tokens follows a mark of its own.
     """
     start, _ = CHARSETS.get(lang.charset, ("", "")) if lang.charset else ("", "")
     literals = literal_patterns(lang)
+    hide = MARK + "-"
 
     def mark(s: Column) -> Column:
-        lines = F.array_join(F.transform(F.regexp_extract_all(s, F.lit("\n"), F.lit(0)), lambda x: x), "")
+        lines = F.array_join(F.transform(F.regexp_extract_all(s, F.lit("\n"), F.lit(0)), lambda x: F.concat(x, F.lit(hide))), "")
         once = F.replace(s, F.lit("\n"), F.lit("\x03"))
-        space = s.rlike(rf"^[{SPACE}]+$")
         kind = F.when(s.rlike(r"^\.?[0-9]"), "d").when(s.rlike(f"^[{BRACKETS}]"), "b")
         if start:
             word = s.rlike(f"^[{start}]")
             kind = kind.when(word & s.isin(*sorted(lang.natives)), "n") if lang.natives else kind
             kind = kind.when(word & s.isin(*sorted(lang.keywords)), "k") if lang.keywords else kind
             kind = kind.when(word, "i")
-        other = F.concat(F.lit(MARK), kind.otherwise("o"), s)
-        hidden = F.concat(F.lit(MARK + "-"), once, lines)
-        result = F.when(space, F.array_join(F.transform(F.split(s, "\n", -1), lambda x: F.concat(F.lit(MARK + "-"), x)), "\n")).otherwise(other)
-        result = F.when(_begins(s, literals), F.concat(F.lit(MARK + "s"), once, lines)).otherwise(result)
-        return F.when(_begins(s, lang.comments), hidden).otherwise(result)
+        plain = F.when(_begins(s, literals), F.concat(F.lit(MARK + "s"), once, F.lit(hide), lines)).otherwise(F.concat(F.lit(MARK), kind.otherwise("o"), s, F.lit(hide)))
+        if may is not None:  # what can't match needs no mark unless it holds a newline
+            plain = F.when(may(s), plain).when(s.contains("\n"), F.concat(once, lines)).otherwise(s)
+        result = F.when(is_space(s), F.replace(s, F.lit("\n"), F.lit("\n" + hide))).otherwise(plain)
+        return F.when(_begins(s, lang.comments), F.concat(once, lines)).otherwise(result)
 
-    marked = F.array_join(F.transform(F.regexp_extract_all(F.translate(text, "\x02\x03", "  "), F.lit(token_regex(lang, strict)), F.lit(0)), mark), "")
+    parts = F.regexp_extract_all(F.translate(text, "\x02\x03", "  "), F.lit(token_regex(lang, strict)), F.lit(0))
+    marked = F.concat(F.lit(hide), F.array_join(F.transform(parts, mark), ""))
 
     def line(row: Column, number: Column) -> Column:
         def lexed(parts: Column) -> Column:
             cols = F.slice(places(F.transform(parts, lambda p: F.substring(p, F.lit(2), F.length(p)))), F.lit(1), F.size(parts))
-            found = F.zip_with(
-                parts,
-                cols,
-                lambda p, c: F.struct(
-                    F.substring(p, 1, 1).alias("type"),
-                    F.replace(F.substring(p, F.lit(2), F.length(p)), F.lit("\x03"), F.lit("\n")).alias("text"),
+            found = F.zip_with(parts, cols, lambda p, c: F.struct(p.alias("p"), c.alias("col")))
+            return F.transform(
+                F.filter(found, lambda t: ~t["p"].startswith("-")),
+                lambda t: F.struct(
+                    F.substring(t["p"], 1, 1).alias("type"),
+                    F.replace(F.substring(t["p"], F.lit(2), F.length(t["p"])), F.lit("\x03"), F.lit("\n")).alias("text"),
                     (number + 1).cast("int").alias("line_no"),
-                    c.alias("col"),
+                    t["col"].alias("col"),
                 ),
             )
-            return F.filter(found, lambda t: t["type"] != "-")
 
-        return bound(F.filter(F.split(row, MARK, -1), lambda x: x != ""), lexed)
+        some = F.filter(F.split(row, MARK, -1), lambda x: F.length(x) > 0)
+        return bound(some, lambda parts: F.when(F.exists(parts, lambda p: ~p.startswith("-")), lexed(parts)).otherwise(F.array().cast(TOKENS)))
+
+    return F.transform(F.split(marked, "\n", -1), line)
+
+
+TOKENS = "array<struct<type:string,text:string,line_no:int,col:int>>"
+
+
+def tokens(text: Column, lang: Language, strict: bool = False) -> Column:
+    """array<struct<type, text, line_no, col>> of a whole text, comments left out."""
+    return F.flatten(token_lines(text, lang, strict))
+
+
+def most_edits(size: int) -> int:
+    """The largest distance from a word of that length that any word may have."""
+    return max(2, size * 40 // 100 - 1)
 
-    return F.flatten(F.transform(F.split(marked, "\n", -1), line))
 
+def fuzzy_equal(a: Column, b: str) -> Column:
+    """Edit distance below 3 for words under five letters, else below 40 % of the shorter; far ones are given up early."""
+    m, most = F.least(F.length(a), F.lit(len(b))), most_edits(len(b))
+    d = F.levenshtein(a, F.lit(b), most)
+    near = (d >= 0) & F.when(m < 5, d < 3).otherwise(d < F.floor(m * 40 / 100))
+    return (F.abs(F.length(a) - len(b)) <= most) & near
 
-def fuzzy_equal(a: Column, b: Column) -> Column:
-    """Edit distance below 3 for words under five letters, else below 40 % of the shorter."""
-    m, d = F.least(F.length(a), F.length(b)), F.levenshtein(a, b)
-    return F.when(m < 5, d < 3).otherwise(d < F.floor(m * 40 / 100))
+
+def pieces(pattern: str) -> list[str]:
+    """Parts of a pattern of which a word within its edit distance holds one unchanged; none if it is too short for that."""
+    n = most_edits(len(pattern)) + 1
+    cuts = [i * len(pattern) // n for i in range(n + 1)]
+    return [pattern[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(pattern) >= n else []
 
 
 def trimmed(s: Column) -> Column:
@@ -232,7 +290,12 @@ def unquoted(s: Column) -> Column:
 
 
 def posix_longest(pattern: str) -> str:
-    """Top-level literal alternatives, longest first: leftmost-longest as POSIX has it, for such patterns."""
-    parts = pattern.split("|")
-    plain = all(re.fullmatch(r"[^\\.\[\](){}*+?^$]*", p) for p in parts)
-    return "|".join(sorted(parts, key=len, reverse=True)) if plain else pattern
+    """Alternatives of plain letters, also inside groups, longest first: leftmost-longest as POSIX has it, for such patterns."""
+
+    def ordered(body: str) -> str:
+        return "|".join(sorted(body.split("|"), key=len, reverse=True))
+
+    plain = r"[^\\.\[\](){}*+?^$]*"
+    if re.fullmatch(plain, pattern):
+        return ordered(pattern)
+    return re.sub(rf"(\((?:\?:)?)({plain}\|{plain})\)", lambda m: f"{m[1]}{ordered(m[2])})", pattern)

@@ -13,6 +13,9 @@ from textloom.functions.registry import Language
 from textloom.plans.spec import WILDCARDS, SearchSpec
 
 
+CHUNKS = "array<struct<type:string,token:string,col:int>>"
+
+
 def _chunk(kind: Column, token: Column, col: Column) -> Column:
     return F.struct(kind.alias("type"), token.alias("token"), col.cast("int").alias("col"))
 
@@ -25,7 +28,7 @@ def _any(tests) -> Column:
 def occurrences(line: Column, pattern: str) -> Column:
     """Non-overlapping places of a substring; none of an empty one."""
     if not pattern:
-        return F.array().cast("array<struct<type:string,token:string,col:int>>")
+        return F.array().cast(CHUNKS)
     size = len(pattern)
 
     def found(parts: Column) -> Column:
@@ -38,30 +41,40 @@ def occurrences(line: Column, pattern: str) -> Column:
 def anchored(line: Column, pattern: str, anchor: str, lang: Language | None) -> Column:
     """Places where a word of the line is, starts or ends with the pattern, or is within its edit distance."""
     p, size = F.lit(pattern), len(pattern)
-    words = L.chunks(line, lang)
-    test = {
-        "word": lambda w: w == p,
-        "prefix": lambda w: w.startswith(p),
-        "suffix": lambda w: w.endswith(p),
-        "edit": lambda w: L.fuzzy_equal(w, p),
-    }[anchor]
+    test = lambda w: _anchor_test(w, pattern, anchor)
     place = (lambda c: c["col"] + F.length(c["token"]) - size) if anchor == "suffix" else (lambda c: c["col"])
     token = (lambda c: c["token"]) if anchor == "edit" else (lambda c: p)
-    return F.transform(F.filter(words, lambda c: test(c["token"])), lambda c: _chunk(F.lit("text"), token(c), place(c)))
+
+    def found(words: Column) -> Column:
+        fits = F.filter(L.placed(words), lambda c: test(c["token"]) & ~L.is_space(c["token"]))
+        return F.when(F.exists(words, test), F.transform(fits, lambda c: _chunk(F.lit("text"), token(c), place(c)))).otherwise(F.array().cast(CHUNKS))
+
+    return L.bound(L.words(line, lang), found)
 
 
 def regex_matches(line: Column, pattern: str) -> Column:
-    """All matches in a line, by group 0; columns are null where a match may be empty."""
-    parts = F.split(line, f"(?m){pattern}", -1)
+    """All matches in a line, leftmost-longest for plain alternatives; columns are null where a match may be empty.
+
+    Where the pattern has groups, each group that took part is a chunk too, behind the match; its column is not known.
+    """
+    groups = regex.compile(regex.sub(r"\(\?i\)", "", pattern), regex.V1).groups
+    pattern = f"(?m){L.posix_longest(pattern)}"
+    parts = F.split(line, pattern, -1)
 
     def placed(found: Column) -> Column:
         gaps = F.slice(L.places(parts), F.lit(2), F.size(found))
         widths = F.slice(L.places(found), F.lit(1), F.size(found))
         cols = F.when(F.size(parts) == F.size(found) + 1, F.zip_with(gaps, widths, lambda g, w: g + w - 1))
         cols = F.coalesce(cols, F.transform(found, lambda t: F.lit(None).cast("int")))
-        return F.zip_with(found, cols, lambda t, c: _chunk(F.lit("text"), t, c))
+        whole = F.zip_with(found, cols, lambda t, c: _chunk(F.lit("text"), t, c))
+        if not groups:
+            return whole
+        each = [F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(g)), lambda t: _chunk(F.lit("group"), t, F.lit(None).cast("int"))) for g in range(1, groups + 1)]
+        inner = lambda i: F.filter(F.array(*(F.element_at(e, i) for e in each)), lambda c: c["token"] != "")
+        rows = lambda w: F.transform(w, lambda c, i: F.concat(F.array(c).cast(CHUNKS), inner(i + 1).cast(CHUNKS)))
+        return L.bound(whole, lambda w: F.flatten(rows(w)))
 
-    return L.bound(F.regexp_extract_all(line, F.lit(f"(?m){pattern}"), F.lit(0)), placed)
+    return L.bound(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), placed)
 
 
 def line_chunks(line: Column, spec: SearchSpec, lang: Language | None) -> Column:
@@ -78,7 +91,7 @@ def line_chunks(line: Column, spec: SearchSpec, lang: Language | None) -> Column
 
 def _anchor_test(text: Column, pattern: str, anchor: str) -> Column:
     p = F.lit(pattern)
-    return {"infix": text.contains(p), "word": text == p, "prefix": text.startswith(p), "suffix": text.endswith(p), "edit": L.fuzzy_equal(text, p)}[anchor]
+    return {"infix": text.contains(p), "word": text == p, "prefix": text.startswith(p), "suffix": text.endswith(p), "edit": L.fuzzy_equal(text, pattern)}[anchor]
 
 
 def _folded(text: Column, spec: SearchSpec) -> Column:
@@ -90,6 +103,14 @@ def _token_chunk(t: Column) -> Column:
     return _chunk(names[t["type"]], t["text"], t["col"])
 
 
+def may_hit(spec: SearchSpec):
+    """A test that no hit of the token strategy fails, before its type is known; None where no such test is known."""
+    if spec.anchor == "edit":
+        return None
+    patterns = [p.lower() if spec.ignore_case else p for p in spec.patterns]
+    return lambda s: _any(_folded(s, spec).contains(F.lit(p)) for p in patterns)
+
+
 def token_hits(tokens: Column, spec: SearchSpec) -> Column:
     """Tokens of the chosen types (all but brackets if none) that a pattern fits."""
     letters = [L.TYPES[t] for t in spec.token_types or set(L.TYPES) - {"bracket"}]
@@ -154,21 +175,23 @@ def _atom_test(t: Column, atom: tuple[str, str, str], spec: SearchSpec) -> Colum
 
 
 def _windows(tokens: Column, wanted: list[tuple[str, str, str]], spec: SearchSpec) -> Column:
-    """Tokens of the windows that the atoms fit; equal placeholders _0 to _9 stand for equal words."""
+    """Places of the tokens of the windows that the atoms fit; equal placeholders _0 to _9 stand for equal words."""
     k, places = len(wanted), {}
     for j, (kind, _, text) in enumerate(wanted):
         if kind == "placeholder" and len(text) == 2 and text[0] == "_":
             places.setdefault(text, []).append(j)
+    # what few tokens pass is tested first
+    rank = {"exact": 0, "wildcard": 1, "placeholder": 2}
+    order = sorted((j for j in range(k) if wanted[j][2] != "ANY" or wanted[j][0] != "wildcard"), key=lambda j: (rank[wanted[j][0]], j))
 
     def fits(i: Column) -> Column:
-        at = [F.element_at(tokens, i + j) for j in range(k)]
-        tests = [_atom_test(t, atom, spec) for t, atom in zip(at, wanted, strict=True)]
-        tests += [at[js[0]]["text"] == at[j]["text"] for js in places.values() for j in js[1:]]
-        return reduce(Column.__and__, tests)
+        tests = [_atom_test(F.element_at(tokens, i + j), wanted[j], spec) for j in order]
+        tests += [F.element_at(tokens, i + js[0])["text"] == F.element_at(tokens, i + j)["text"] for js in places.values() for j in js[1:]]
+        return reduce(Column.__and__, tests) if tests else F.lit(True)
 
     starts = F.filter(F.sequence(F.lit(1), F.size(tokens) - k + 1), fits)
-    windows = F.flatten(F.transform(starts, lambda i: F.slice(tokens, i, k)))
-    return F.when(F.size(tokens) >= k, windows).otherwise(F.slice(tokens, 1, 0))
+    found = F.flatten(F.transform(starts, lambda i: F.sequence(i, i + k - 1)))
+    return F.when(F.size(tokens) >= k, found).otherwise(F.array().cast("array<int>"))
 
 
 def semantic_hits(tokens: Column, spec: SearchSpec, lang: Language) -> Column:
@@ -176,9 +199,12 @@ def semantic_hits(tokens: Column, spec: SearchSpec, lang: Language) -> Column:
     wanted = [a for p in spec.patterns if (a := atoms(p, lang, spec.strict))]
     if not wanted:
         return F.slice(tokens, 1, 0)
-    both = F.array_distinct(L.bound(tokens, lambda ts: F.concat(*(_windows(ts, w, spec) for w in wanted))))
-    order = lambda a, b: F.when((a["line_no"] < b["line_no"]) | ((a["line_no"] == b["line_no"]) & (a["col"] < b["col"])), -1).otherwise(1)
-    return F.array_sort(both, order)
+
+    def hit(ts: Column) -> Column:
+        both = F.concat(*(_windows(ts, w, spec) for w in wanted)) if len(wanted) > 1 else _windows(ts, wanted[0], spec)
+        return F.transform(F.sort_array(F.array_distinct(both)), lambda i: F.element_at(ts, i))
+
+    return L.bound(tokens, hit)
 
 
 def required(spec: SearchSpec, lang: Language) -> list[list[str]]:
@@ -189,11 +215,17 @@ def required(spec: SearchSpec, lang: Language) -> list[list[str]]:
 
 
 def lines_of(hits: Column) -> Column:
-    """array<struct<line_no, chunks>> of token hits."""
-
+    """array<struct<line_no, chunks>> of token hits, which come in the order of their lines."""
 
     def grouped(found: Column) -> Column:
-        numbers = F.array_distinct(F.transform(found, lambda t: t["line_no"]))
-        return F.transform(numbers, lambda n: F.struct(n.alias("line_no"), F.transform(F.filter(found, lambda t: t["line_no"] == n), _token_chunk).alias("chunks")))
+        number = lambda i: F.element_at(found, i)["line_no"]
+        every = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
+        firsts = F.filter(every, lambda i: F.when(i == 1, True).otherwise(number(i) != number(F.greatest(i - 1, F.lit(1)))))
+
+        def cut(fs: Column) -> Column:
+            stop = lambda j: F.when(j + 2 <= F.size(fs), F.element_at(fs, F.least(j + 2, F.size(fs)))).otherwise(F.size(found) + 1)
+            return F.transform(fs, lambda i, j: F.struct(number(i).alias("line_no"), F.transform(F.slice(found, i, stop(j) - i), _token_chunk).alias("chunks")))
+
+        return L.bound(firsts, cut)
 
     return L.bound(hits, grouped)

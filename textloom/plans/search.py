@@ -49,11 +49,34 @@ def chosen(files: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def _eligible(text: Column, spec: SearchSpec) -> Column | None:
-    """Some pattern occurs in the whole text; None where that can't be known or matches are inverted."""
-    if spec.invert or spec.strategy in ("fuzzy", "regex", "semantic") or spec.anchor == "edit" or not all(spec.patterns):
+    """A test of any text (a file's or a line's) that holds a match: some pattern, or a part of it, occurs; None where none is known."""
+    if not all(spec.patterns) or spec.strategy in ("regex", "semantic"):
         return None
-    tests = [text.contains(p.lower() if spec.ignore_case else p) for p in spec.patterns]
-    return reduce(Column.__or__, tests)
+    patterns = [p.lower() if spec.ignore_case else p for p in spec.patterns]
+    if spec.strategy == "fuzzy" or spec.anchor == "edit":
+        parts = [L.pieces(p) for p in patterns]
+        patterns = [x for own in parts for x in own] if all(parts) else []
+    tests = [text.contains(p) for p in patterns]
+    return reduce(Column.__or__, tests) if tests else None
+
+
+def _semantic_needs(spec: SearchSpec, lang: Language) -> Column:
+    """Some pattern's exact words all occur in the text."""
+    base = F.lower("content") if spec.ignore_case else F.col("content")
+    needs = [[base.contains(t.lower() if spec.ignore_case else t) for t in dict.fromkeys(texts)] for texts in M.required(spec, lang)]
+    return reduce(Column.__or__, [reduce(Column.__and__, n) if n else F.lit(True) for n in needs])
+
+
+def eligible_files(files: DataFrame, spec: SearchSpec) -> DataFrame:
+    """Without files that can't match; what is left to the scan as a filter."""
+    if spec.invert:
+        return files
+    if spec.strategy == "semantic":
+        if spec.types:
+            files = files.where(reduce(Column.__or__, [(F.col("file_type") == t) & _semantic_needs(spec, spec.registry[t]) for t in sorted(spec.types)]))
+        return files
+    may = _eligible(F.lower("content") if spec.ignore_case else F.col("content"), spec)
+    return files if may is None else files.where(may)
 
 
 def _line_arrays(files: DataFrame, spec: SearchSpec) -> Column:
@@ -63,7 +86,12 @@ def _line_arrays(files: DataFrame, spec: SearchSpec) -> Column:
     pairs = F.arrays_zip(F.split("content", "\n", -1).alias("line"), F.split(shown, "\n", -1).alias("shown"))
     worded = spec.strategy == "fuzzy" or spec.anchor != "infix"
     find = lambda line: _by_type(files, spec, lambda lang: M.line_chunks(line, spec, lang)) if worded else M.line_chunks(line, spec, None)
-    return F.transform(pairs, lambda p, i: F.struct((i + 1).cast("int").alias("line_no"), p["line"].alias("line"), find(p["shown"]).cast(CHUNKS).alias("chunks")))
+
+    def judged(line: Column) -> Column:
+        may = _eligible(line, spec)
+        return find(line).cast(CHUNKS) if may is None else F.when(may, find(line).cast(CHUNKS)).otherwise(F.array().cast(CHUNKS))
+
+    return F.transform(pairs, lambda p, i: F.struct((i + 1).cast("int").alias("line_no"), p["line"].alias("line"), judged(p["shown"]).alias("chunks")))
 
 
 def _token_arrays(files: DataFrame, spec: SearchSpec) -> Column:
@@ -75,14 +103,12 @@ def _token_arrays(files: DataFrame, spec: SearchSpec) -> Column:
             return none
         contexts = (spec.contexts or set(L.CONTEXTS)) - {L.COMMENT} or set(L.CONTEXTS)
         text = L.visible(F.col("content"), lang, contexts) if spec.contexts else F.col("content")
-        found = L.tokens(text, lang, spec.strict)
         if spec.strategy == "token":
-            return M.lines_of(M.token_hits(found, spec)).cast(f"array<struct<line_no:int,chunks:{CHUNKS}>>")
-        lines = M.lines_of(M.semantic_hits(found, spec, lang)).cast(f"array<struct<line_no:int,chunks:{CHUNKS}>>")
-        base = F.lower("content") if spec.ignore_case else F.col("content")
-        needs = [[base.contains(t.lower() if spec.ignore_case else t) for t in texts] for texts in M.required(spec, lang)]
-        may = reduce(Column.__or__, [reduce(Column.__and__, n, F.lit(True)) for n in needs])
-        return F.when(may, lines).otherwise(none)
+            tokens = L.token_lines(text, lang, spec.strict, M.may_hit(spec))
+            lines = F.transform(F.transform(tokens, lambda t: M.token_hits(t, spec)), lambda t, i: F.struct((i + 1).cast("int").alias("line_no"), F.transform(t, M._token_chunk).alias("chunks")))
+            return F.filter(lines, lambda x: F.size(x["chunks"]) > 0).cast(f"array<struct<line_no:int,chunks:{CHUNKS}>>")
+        lines = M.lines_of(M.semantic_hits(L.tokens(text, lang, spec.strict), spec, lang)).cast(f"array<struct<line_no:int,chunks:{CHUNKS}>>")
+        return F.when(_semantic_needs(spec, lang), lines).otherwise(none)
 
     found = _by_type(files, spec, hits)
     hit = F.array(F.struct(F.lit("").alias("type"), F.lit("").alias("token"), F.lit(0).alias("col")))
@@ -103,12 +129,11 @@ def search(files: DataFrame, spec: SearchSpec) -> DataFrame:
         files = files.withColumn("file_type", F.lit(None).cast("string"))
     files = chosen(files, spec)
     keys = [c for c in files.columns if c not in ("content", "file_type")]
+    files = eligible_files(files, spec)
     if spec.tests:
         from textloom.operators.test_code import search_tests
 
         return search_tests(files, spec, keys)
-    if (may := _eligible(F.lower("content") if spec.ignore_case else F.col("content"), spec)) is not None:
-        files = files.where(may)
     found = _token_arrays(files, spec) if spec.strategy in ("token", "semantic") else _line_arrays(files, spec)
     found = F.filter(found, (lambda x: F.size(x["chunks"]) == 0) if spec.invert else (lambda x: F.size(x["chunks"]) > 0))
     if spec.max_count is not None:
