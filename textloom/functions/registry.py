@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from textloom.functions.keywords import MORE
+
 LETTER, ALNUM = "A-Za-z", "A-Za-z0-9"
 #: Identifier letters (start, continue) as insides of character classes.
 CHARSETS = {
@@ -159,7 +161,7 @@ def _pairs(text: str) -> tuple[tuple[str, str], ...]:
 def _language(row: str) -> Language:
     name, kind, selectors, comments, strings, raws, chars, charset = (cell.strip() for cell in row.split("¦"))
     chosen = selectors.split()
-    keywords, natives = KEYWORDS.get(name, ("", ""))
+    keywords, natives = (f"{a} {b}" for a, b in zip(KEYWORDS.get(name, ("", "")), MORE.get(name, ("", "")), strict=True))
     return Language(
         name,
         kind,
@@ -171,7 +173,7 @@ def _language(row: str) -> Language:
         _pairs(raws),
         _pairs(chars),
         charset or None,
-        frozenset(keywords.split()),
+        frozenset(keywords.split()) - frozenset(natives.split()),
         frozenset(natives.split()),
     )
 
