@@ -33,8 +33,8 @@ from textloom.llm import common as C
 
 SAMPLE, FOLDS, HELD = 3000, 4, 2
 EXTRACT, PIECES, PIECE = 400, 4000, 96
-HIDDEN, BATCH, EPOCHS, RATE = 16, 128, 5, 0.015
-STRIDE, MARGIN, AT_ONCE = 448, 32, 2048
+HIDDEN, BATCH, EPOCHS, RATE = 12, 128, 6, 0.02
+STRIDE, MARGIN, AT_ONCE = 448, 32, 1024
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = regex.compile(r"\p{L}")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -130,63 +130,69 @@ class BiGru:
 
 
 class _Reader:
-    """Inference: all windows in step, one contiguous array for each gate."""
+    """Inference: all windows in step, one contiguous array for each gate, results in the order of steps."""
 
     def __init__(self, model: BiGru):
         n = model.hidden
         self.n, self.model = n, model
         gates = [slice(0, n), slice(n, 2 * n), slice(2 * n, 3 * n)]
-        # half of a gate's argument, as its sigmoid is taken by tanh
-        self.x = {d: [np.ascontiguousarray(model.w[d + "x"][:, g] * s) for g, s in zip(gates, (0.5, 0.5, 1), strict=True)] for d in "fb"}
-        self.h = {d: [np.ascontiguousarray(model.w[d + "h"][:, g] * s) for g, s in zip(gates, (0.5, 0.5, 1), strict=True)] for d in "fb"}
+        # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 / (1 + exp(-2x)) - 1: the signs and the 2 lie in the weights
+        self.x, self.h = ({d: [np.ascontiguousarray(model.w[d + kind][:, g] * s) for g, s in zip(gates, (-1, -1, -2), strict=True)] for d in "fb"} for kind in "xh")
 
-    def _read(self, d, data, first, way, live, place, logits):
+    def _read(self, d, data, first, way, live, logits):
         n, xs, hs = self.n, self.x[d], self.h[d]
         out = np.ascontiguousarray(self.model.w["out"][:n] if d == "f" else self.model.w["out"][n:])
-        m = live[0] if live else 0
-        h, a, z, r, c = (np.zeros((m, n), np.float32) for _ in range(5))
-        half, one = np.float32(0.5), np.float32(1)
+        h, a, z, r, c = (np.zeros((live[0], n), np.float32) for _ in range(5))
+        one, two, most = np.float32(1), np.float32(2), np.float32(80)
+        done = 0
         for t, m in enumerate(live):
             byte, hm, am, zm, rm, cm = data[first[:m] + way * t], h[:m], a[:m], z[:m], r[:m], c[:m]
             for gate, x, w in ((zm, xs[0], hs[0]), (rm, xs[1], hs[1])):
                 np.matmul(hm, w, out=gate)
                 np.take(x, byte, axis=0, out=am, mode="clip")
                 gate += am
-                np.tanh(gate, out=gate)
+                np.minimum(gate, most, out=gate)
+                np.exp(gate, out=gate)
                 gate += one
-                gate *= half
             np.matmul(hm, hs[2], out=cm)
-            cm *= rm
+            cm /= rm
             np.take(xs[2], byte, axis=0, out=am, mode="clip")
             cm += am
-            np.tanh(cm, out=cm)
+            np.minimum(cm, most, out=cm)
+            np.exp(cm, out=cm)
+            cm += one
+            np.divide(two, cm, out=cm)
+            cm -= one
             cm -= hm
-            cm *= zm
+            cm /= zm
             hm += cm
-            logits[place[:m] + way * t] += hm @ out
+            np.matmul(hm, out, out=logits[done : done + m])
+            done += m
 
     def sums(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, core_begin: np.ndarray, core_end: np.ndarray) -> np.ndarray:
-        """Summed probabilities over the core of each window [begin, end) of the bytes."""
+        """Summed probabilities over the core of each window [begin, end) of the bytes; no window is empty."""
         order = np.argsort(begin - end, kind="stable")
         begin, size, skip, core = begin[order], (end - begin)[order], (core_begin - begin)[order], (core_end - core_begin)[order]
-        place = np.cumsum(size) - size
-        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left").tolist()
-        logits = np.tile(self.model.w["bias"], (int(size.sum()), 1))
-        self._read("f", data, begin, 1, live, place, logits)
-        self._read("b", data, begin + size - 1, -1, live, place + size - 1, logits)
-        p = [np.ascontiguousarray(c) for c in logits.T]
+        live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+        offset = np.cumsum(live) - live
+        step, total = np.repeat(np.arange(len(live)), live), int(live.sum())
+        row = np.arange(total) - offset[step]
+        f, b = (np.empty((total, len(self.model.langs)), np.float32) for _ in range(2))
+        self._read("f", data, begin, 1, live.tolist(), f)
+        self._read("b", data, begin + size - 1, -1, live.tolist(), b)
+        f += np.take(b, offset[size[row] - 1 - step] + row, axis=0)  # the same position, read from behind
+        f += self.model.w["bias"]
+        p = [np.ascontiguousarray(c) for c in f.T]
         top = p[0].copy()
         for c in p[1:]:
             np.maximum(top, c, out=top)
         for c in p:
             c -= top
             np.exp(c, out=c)
-        total = sum(p)
-        edges = np.stack([place + skip, place + skip + core], 1).ravel()
+        weight = ((step >= skip[row]) & (step < (skip + core)[row])) / sum(p)
         out = np.empty((len(order), len(p)))
         for k, c in enumerate(p):
-            c /= total
-            out[order, k] = np.add.reduceat(np.append(c, np.float32(0)), edges)[::2]
+            out[order, k] = np.bincount(row, c * weight, len(order))
         return out
 
     def documents(self, texts: list[bytes | None]) -> np.ndarray:
