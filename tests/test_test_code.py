@@ -1,43 +1,25 @@
-"""Own fixtures: every hit line holds a marker prod_N or test_N, numbered in file order; full counts are checked."""
+"""The examples' markers: full counts are checked, in both lexings."""
 
 import re
 
 import pytest
 
 from textloom import SearchSpec, search
-
-FIXTURES = {
-    "Rust": "fn a() { mk_prod_1(); }\n#[derive(Debug)]\nstruct S { mk_prod_2: u8 }\n#[test]\nfn t() { if x { mk_test_1(); } mk_test_2(); }\n#[cfg(all(test, unix))]\nmod m { fn q() { mk_test_3(); } }\nfn b() { mk_prod_3(); }\n",
-    "Go": "func a() { mk_prod_1() }\nfunc TestA(t *T) { mk_test_1() }\nfunc (s *S) TestB() { mk_test_2() }\nfunc Testing2 int\nvar testX = mk_prod_2\n",
-    "Java": "class A { int mk_prod_1;\n@Override void f() { mk_prod_2(); }\n@Test(timeout = 1)\n void t() { mk_test_1(); }\n@org.junit.BeforeEach void s() { mk_test_2(); }\n int mk_prod_3; }\n",
-    "C": "int test_x = mk_prod_1;\nvoid test_a(void);\nvoid b(void) { mk_prod_2(); }\nvoid test_a(void) { mk_test_1(); }\nTEST(A, B) { mk_test_2(); }\nvoid c(void) { mk_prod_3(); }\n",
-    "Python": "def a():\n    mk_prod_1()\n\ndef test_a():\n    mk_test_1()\n    mk_test_2()\n\nclass TestB:\n    def f(self):\n        mk_test_3()\n\n@pytest.fixture\ndef g():\n    mk_test_4()\n\n@other\ndef h():\n    mk_prod_2()\n",
-    "Zig": 'fn a() void { mk_prod_1(); }\ntest "x" { mk_test_1(); }\nfn b() void { mk_prod_2(); }\n',
-    "Javascript": 'const a = mk_prod_1;\ndescribe("x", () => { it("y", () => { mk_test_1(); }); mk_test_2(); });\nmk_prod_2();\n',
-    "Csharp": "class A { int mk_prod_1;\n[Obsolete] void f() { mk_prod_2(); }\n[Fact]\n[Trait] void t() { mk_test_1(); } }\n",
-    "Ruby": "def a\n  mk_prod_1\nend\ndescribe 1 do\n  it 2 do\n    mk_test_1\n  end\n  mk_test_2\nend\ndef b\n  mk_prod_2\nend\n",
-    "Scala": 'val a = mk_prod_1\ntest("x") { mk_test_1 }\nval b = mk_prod_2\n',
-    "R": 'f <- mk_prod_1\ntest_that("x", { mk_test_1 })\ng <- mk_prod_2\n',
-    "Clojure": "(defn a [] mk_prod_1)\n(deftest b (is mk_test_1))\n(defn c [] mk_prod_2)\n",
-    "D": "int mk_prod_1;\nunittest { mk_test_1(); }\nint mk_prod_2;\n",
-    "Erlang": "a() -> mk_prod_1.\nb_test() -> mk_test_1,\n  mk_test_2.\nc() -> mk_prod_2.\n",
-    "Dart": 'var a = mk_prod_1;\ngroup("x", () { mk_test_1(); });\nvar b = mk_prod_2;\n',
-    "Kotlin": "fun a() { mk_prod_1() }\n@Test fun t() { mk_test_1() }\nfun b() { mk_prod_2() }\n",
-    "Swift": "func a() { mk_prod_1() }\nfunc testA() { mk_test_1() }\n@Test func b() { mk_test_2() }\nfunc c() { mk_prod_2() }\n",
-    "Perl": 'mk_prod_1();\nsubtest "x" => sub { mk_test_1(); };\nmk_prod_2();\n',
-    "Elixir": 'def a do\n  mk_prod_1\nend\ntest "x" do\n  mk_test_1\nend\ndef b do\n  mk_prod_2\nend\n',
-    "Bash": "mk_prod_1\n",
-}
-
+from textloom.operators.examples import EXAMPLES
+from textloom.operators.test_code import RULES
 
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("tests", ["only", "exclude"])
 def test_markers(spark, tests, strict):
-    files = spark.createDataFrame(list(FIXTURES.items()), "path string, content string").selectExpr("path", "path AS file_type", "content")
+    files = spark.createDataFrame(list(EXAMPLES.items()), "path string, content string").selectExpr("path", "path AS file_type", "content")
     found = {}
     for r in search(files, SearchSpec("mk_", strategy="semantic", tests=tests, strict=strict)).collect():
         found.setdefault(r.path, []).extend(c.token for c in r.chunks)
-    for name, text in FIXTURES.items():
+    for name, text in EXAMPLES.items():
         kind = "prod" if tests == "exclude" or name == "Bash" else "test"
         want = re.findall(rf"mk_{kind}_\d+", text)
         assert sorted(found.get(name, [])) == sorted(want), name
+
+
+def test_every_rule_has_an_example():
+    assert set(RULES) <= set(EXAMPLES)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textloom.functions import lexing as L
 from textloom.functions.registry import REGISTRY
 from textloom.operators import shaping
+from textloom.operators.examples import EXAMPLES
 from textloom.plans.search import search
 from textloom.plans.spec import SearchSpec
 from textloom.sources import files
@@ -99,6 +100,27 @@ def json_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaping.json_rows(_found(spark, sf_dir, "pages", "class", contexts="code", max_count=3), "page_id")
 
 
+def _test_filter(tests: str):
+    """Marker lines of the examples among tests only, or without them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = [(name, name, text) for name, text in EXAMPLES.items()]
+        files_of = spark.createDataFrame(rows, "path string, file_type string, content string")
+        return search(files_of, SearchSpec("mk_", strategy="semantic", tests=tests)).select("path", "line_no", "line", F.size("chunks").alias("n_hits"))
+
+    return run
+
+
+def _typed(table: str, file_type: str, patterns, **options):
+    """How often tokens of a table's texts were hit, its texts taken for another type."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = corpus(spark, sf_dir, table).withColumn("file_type", F.lit(file_type))
+        return _tokens(search(files.spread(rows), SearchSpec(patterns, types=file_type, **options)))
+
+    return run
+
+
 def queries() -> dict:
     rows, bare, per_doc = _rows("documents"), _bare("documents"), _per_file("documents")
     count = lambda found: shaping.count_per_file(found, "doc_id")
@@ -136,6 +158,10 @@ def queries() -> dict:
         "kind_filter": kind_filter,
         "type_list": type_list,
         "json_render": json_render,
+        "tok_keyword": _typed("documents", "Sql", "o", strategy="token", token_types="keyword"),
+        "tok_native": _typed("documents", "Perl", "s", strategy="token", token_types="native"),
+        "test_filter_only": _test_filter("only"),
+        "test_filter_exclude": _test_filter("exclude"),
     }
 
 

@@ -126,7 +126,7 @@ def attributes(opening: tuple[str, ...], marks, reach: int, stop=()):
     return rule
 
 
-def annotations(marks, reach: int, stop=()):
+def annotations(marks, reach: int, stop=(), region=None):
     """A run of ``@A.b(...)``, one of which is a mark, and a body in braces."""
 
     def rule(t, i):
@@ -141,7 +141,9 @@ def annotations(marks, reach: int, stop=()):
                 j += 1
             if text_at(t, j) == "(":
                 j = balanced(t, j)
-        return body(t, j, reach, stop=stop) if test else None
+        if not test:
+            return None
+        return region(t, j, reach) if region else body(t, j, reach, stop=stop)
 
     return rule
 
@@ -176,6 +178,98 @@ def to_end(starts, opens: str, closes: str = "end"):
     return rule
 
 
+def one_declaration(t, i, reach=100):
+    """A body in braces that no second declaration comes before: a method without body does not take the next one's."""
+    declared = 0
+    for j in range(i, min(len(t), i + reach + 1)):
+        if t[j].text == "{" and t[j].type == "b":
+            return balanced(t, j)
+        declared += t[j].type == "k" and t[j].text in ("fun", "class", "interface", "val", "var")
+        if declared > 1:
+            return None
+    return None
+
+
+def _fsharp_attribute(t, i):
+    """End of ``[< ... >]`` at i, however its signs are lexed; None if there is none."""
+    if text_at(t, i) != "[<" and not (text_at(t, i) == "[" and text_at(t, i + 1) == "<"):
+        return None
+    j = i + 1
+    while j < len(t):
+        if text_at(t, j) == "(":
+            j = balanced(t, j)
+        elif text_at(t, j) == ">]":
+            return j + 1
+        elif text_at(t, j) == ">" and text_at(t, j + 1) == "]":
+            return j + 2
+        else:
+            j += 1
+    return None
+
+
+def _fsharp_binding(t, i):
+    """From a binding's first token to the next attribute, declaration or combinator."""
+    for j in range(i + 1, len(t)):
+        if _fsharp_attribute(t, j) or t[j].type == "k" and t[j].text in _FSHARP_STOPS or t[j].type == "i" and t[j].text in _EXPECTO:
+            return j
+    return len(t)
+
+
+def _fsharp(t, i):
+    """Runs of attributes, one of them a test's, with their binding; Expecto's combinators with their block, list or binding."""
+    if t[i].type == "i" and t[i].text in _EXPECTO:
+        j = i + 1 + (i + 1 < len(t) and t[i + 1].type == "s")
+        return balanced(t, j) if text_at(t, j) in ("{", "[") else _fsharp_binding(t, j)
+    j, test = i, False
+    while (end := _fsharp_attribute(t, j)) is not None:
+        test |= any(x.type == "i" and x.text in _FSHARP_MARKS for x in t[j:end])
+        j = end
+    return _fsharp_binding(t, j) if test else None
+
+
+def _julia(t, i):
+    """``@test...`` and what it holds: a block, an argument list, or the tokens up to the next macro or definition."""
+    if not (text_at(t, i) == "@" and text_at(t, i + 1).startswith("test")):
+        return None
+    for j in range(i + 2, len(t)):
+        now = text_at(t, j)
+        if now in ("begin", "for"):
+            depth = 0
+            for k in range(j, len(t)):
+                depth += (text_at(t, k) in _JULIA_OPENS) - (text_at(t, k) == "end")
+                if not depth:
+                    return k + 1
+            return len(t)
+        if now == "(":
+            return balanced(t, j)
+        if now in ("@", "function", "struct", "mutable", "macro", "module", "end"):
+            return j
+    return len(t)
+
+
+def _haskell_starts(t, i):
+    return t[i].type == "i" and (t[i].text in _HASKELL_SPECS or t[i].text.startswith("prop_"))
+
+
+def _haskell_ends(t, j):
+    typed = t[j].type == "o" and (t[j].text == "::" or t[j].text == ":" and text_at(t, j + 1) == ":")
+    return typed or _haskell_starts(t, j) or t[j].type in "ik" and t[j].text in ("main", "data", "type", "class", "instance", "newtype", "module")
+
+
+def _objective_c(t, i):
+    """``- (void) testX``, ``setUp`` and ``tearDown`` with their bodies."""
+    name = text_at(t, i + 4)
+    sign = text_at(t, i) in ("-", "+") and text_at(t, i + 1) == "(" and text_at(t, i + 3) == ")"
+    return body(t, i + 5, 100) if sign and (name.startswith("test") or name in ("setUp", "tearDown")) else None
+
+
+def _split_r(t, i):
+    """``test _ that (``: the name as three tokens."""
+    if text_at(t, i) == "test" and text_at(t, i + 1) == "_" and text_at(t, i + 2) in ("that", "dir", "file"):
+        return body(t, i + 3, 20, "(")
+    return None
+
+
 def _java(name: str) -> bool:
     return "Test" in name or name.startswith(("Before", "After"))
 
@@ -211,7 +305,11 @@ def _starts(names: str):
     return lambda t, i: t[i].type in "ik" and t[i].text in among
 
 
-_HASKELL = {"main", "data", "type", "class", "instance", "newtype", "module", "describe", "it", "context", "testCase", "testGroup", "testProperty"}
+_HASKELL_SPECS = {"describe", "it", "context", "testCase", "testGroup", "testProperty"}
+_JULIA_OPENS = {"begin", "for", "if", "function", "let", "while", "try", "do", "struct", "macro", "quote"}
+_FSHARP_STOPS = {"module", "namespace", "type", "member", "static", "abstract", "override", "interface"}
+_FSHARP_MARKS = {"Test", "TestFixture", "TestCase", "TestCaseSource", "SetUp", "TearDown", "OneTimeSetUp", "OneTimeTearDown", "Category", "Fact", "Theory", "InlineData", "MemberData", "ClassData", "Property"}
+_EXPECTO = {"test", "testList", "testCase", "testCaseAsync", "testAsync", "testSequenced", "testProperty", "testPropertyWithConfig", "ftest", "ptest", "ftestCase", "ptestCase"}
 _XUNIT = {"Fact", "Theory", "Test", "TestCase", "TestMethod", "TestFixture", "TestClass", "SetUp", "TearDown", "OneTimeSetUp", "OneTimeTearDown", "TestInitialize", "TestCleanup", "ClassInitialize", "ClassCleanup", "InlineData", "DataTestMethod"}
 _SPECS = "describe context it xdescribe xcontext xit test xtest"
 _C = [calls("TEST TEST_F TEST_CASE TYPED_TEST SECTION SUITE", 100, "{", (";",)), lambda t, i: body(t, i + 1, 50, stop=(";",)) if t[i].type == "i" and re.match("test_|Test", t[i].text) and text_at(t, i + 1) == "(" and text_at(t, i - 1) not in ("=", "(", ",", ".", "return") else None]
@@ -220,24 +318,24 @@ RULES = {
     "Rust": [attributes(("#", "["), lambda w: w in ("test", "rstest", "test_case"), 50)],
     "Go": [named("func", "(?:Test|Benchmark|Example|Fuzz).*", 50)],
     "Java": [annotations(_java, 100, (";",))],
-    "Kotlin": [annotations(_java, 100), calls(_SPECS, 100, "{")],
+    "Kotlin": [annotations(_java, 100, region=one_declaration), calls(_SPECS, 100, "{")],
     "C": _C,
     "Cpp": _C,
     "Python": [_python],
     "Zig": [word("test", 20)],
     "Javascript": [calls("describe it test context", 0)],
     "Scala": [calls("test it describe scenario feature", 20, "{")],
-    "Haskell": [until(lambda t, i: t[i].type == "i" and (t[i].text in _HASKELL - {"main"} or t[i].text.startswith("prop_")) and t[i].col == 1, lambda t, j: t[j].col == 1 and t[j].type in "ik" and not t[j].text.startswith("prop_"))],
+    "Haskell": [until(_haskell_starts, _haskell_ends)],
     "Csharp": [attributes(("[",), lambda w: w in _XUNIT, 200)],
-    "Fsharp": [until(lambda t, i: text_at(t, i) == "[" and text_at(t, i + 1) == "<" and text_at(t, i + 2) in _XUNIT, lambda t, j: text_at(t, j) == "let" and t[j].col == t[j - 1].col or text_at(t, j) == "[" and text_at(t, j + 1) == "<")],
+    "Fsharp": [_fsharp],
     "Dart": [calls("test group testWidgets setUp tearDown setUpAll tearDownAll", 0)],
     "Elixir": [to_end(_starts("test describe setup setup_all"), "do fn"), to_end(lambda t, i: text_at(t, i) == "defmodule" and any(text_at(t, j).endswith("Test") for j in range(i + 1, i + 6)), "do fn")],
     "Ruby": [to_end(_starts("describe context it"), _RUBY_OPENS), to_end(lambda t, i: text_at(t, i) == "def" and re.match("test_|setup$|teardown$", text_at(t, i + 1)) or text_at(t, i) == "class" and text_at(t, i + 1).startswith("Test"), _RUBY_OPENS)],
     "PHP": [calls("test it describe", 0), attributes(("#", "["), lambda w: w.startswith("Test"), 100), named("function", "test.*|setUp.*|tearDown.*", 100), named("class", ".*Test.*", 200)],
     "Swift": [annotations(lambda w: w in ("Test", "Suite"), 200), named("func", "test.*|setUp.*|tearDown.*", 100), named("class", ".*Test.*", 200), named("struct", ".*Test.*", 200), named("extension", ".*Test.*", 200)],
-    "ObjectiveC": [lambda t, i: body(t, i, 100, stop=(";",)) if text_at(t, i) == "-" and text_at(t, i + 1) == "(" and text_at(t, i + 4).startswith("test") else None],
-    "R": [calls("test_that describe context it test_dir test_file", 20)],
-    "Julia": [to_end(lambda t, i: text_at(t, i) == "@" and text_at(t, i + 1).startswith("test") and any(text_at(t, j) in ("begin", "for") for j in range(i + 2, i + 8)), "begin for if function let while try do"), lambda t, i: balanced(t, i + 2) if text_at(t, i) == "@" and text_at(t, i + 1).startswith("test") and text_at(t, i + 2) == "(" else None],
+    "ObjectiveC": [_objective_c, named("class", ".*Test.*", 200)],
+    "R": [calls("test_that describe context it test_dir test_file", 20), _split_r],
+    "Julia": [_julia],
     "Perl": [word("subtest test", 20)],
     "OCaml": [to_end(lambda t, i: text_at(t, i) == "module" and text_at(t, i + 1).startswith("Test") and text_at(t, i + 3) == "struct", "struct sig begin object"), until(lambda t, i: text_at(t, i) == "let" and text_at(t, i + 1) == "%" and text_at(t, i + 2).startswith(("test", "expect_test")), lambda t, j: text_at(t, j) == "let" and t[j].col == 1)],
     "Erlang": [lambda t, i: next((j + 1 for j in range(i, len(t)) if text_at(t, j) == "." and (j + 1 == len(t) or t[j + 1].line > t[j].line)), len(t)) if t[i].type == "i" and re.search("_test_?$", t[i].text) and t[i].col == 1 else None],
