@@ -13,6 +13,7 @@ from textloom.functions import lexing as L
 from textloom.functions.registry import REGISTRY
 from textloom.operators import shaping
 from textloom.operators.examples import EXAMPLES
+from textloom.operators.pattern_file import search_patterns
 from textloom.plans.search import search
 from textloom.plans.spec import SearchSpec
 from textloom.sources import files
@@ -72,10 +73,10 @@ def lit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the opening of any benchmark passage: a file of patterns, as one expression."""
-    opening = F.regexp_extract("text", r"^[^\n]{1,24}", 0)
-    patterns = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(opening).distinct().collect() if r[0])  # the query's own patterns
-    return _found(spark, sf_dir, "documents", "|".join(L.quote(p) for p in patterns), strategy="regex").select("doc_id", "line_no", "line")
+    """Lines with any whole line of any benchmark passage: the passages as a file of patterns."""
+    lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", "\n", -1)).alias("p")).distinct()
+    patterns = [r["p"] for r in lines.collect()]  # the query's own patterns
+    return search_patterns(corpus(spark, sf_dir, "documents"), patterns, "doc_id").select("doc_id", "line_no", "line")
 
 
 def ctx_segment_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +160,6 @@ def queries() -> dict:
         "type_list": type_list,
         "json_render": json_render,
         "tok_keyword": _typed("documents", "Sql", "o", strategy="token", token_types="keyword"),
-        "tok_native": _typed("documents", "Perl", "s", strategy="token", token_types="native"),
         "test_filter_only": _test_filter("only"),
         "test_filter_exclude": _test_filter("exclude"),
     }
@@ -247,6 +247,36 @@ def _classified() -> str:
 SELECT path, coalesce(CASE {whole} END, CASE {plain} END, CASE {header} END) AS file_type FROM (VALUES {paths}) AS p(path))"""
 
 
+def _json_sql() -> str:
+    """One object a page: its first three lines with "class" in code, each occurrence with its column."""
+    places = "1 + list_sum(list_transform(p[1:i], lambda x: length(x))) + 5 * (i - 1)"
+    token = f"""'{{"col":' || ({places})::INTEGER || ',"token":"class"}}'"""
+    return f"""WITH {_lines("pages", _html("code"))},
+hit AS (SELECT page_id, line_no, string_split(shown, 'class') AS p FROM lines WHERE contains(shown, 'class') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY line_no) <= 3),
+said AS (SELECT page_id, line_no, '{{"row":' || line_no || ',"tokens":[' || array_to_string(list_transform(range(1, len(p)), lambda i: {token}), ',') || ']}}' AS j FROM hit)
+SELECT '{{"file":"' || page_id || '","matches":[' || string_agg(j, ',' ORDER BY line_no) || ']}}' AS json FROM said GROUP BY page_id"""
+
+
+#: SQL's tokens, written apart from the engine's lexer: comments, strings, numbers, words, single signs.
+SQL_TOKENS = r"(?s)--[^\n]*\n?|'(?:[^'\\]|\\.)*'?|\.?[0-9][0-9A-Fa-f.xX]*|[A-Za-z_][A-Za-z0-9_]*|."
+
+
+def _keyword_sql() -> str:
+    words = ", ".join(f"'{w}'" for w in sorted(REGISTRY["Sql"].keywords))
+    tokens = SQL_TOKENS.replace("'", "''")
+    return f"SELECT t AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{tokens}')) AS t FROM documents) WHERE t IN ({words}) AND contains(t, 'o') GROUP BY t"
+
+
+def _test_filter_sql(kind: str) -> str:
+    """The examples' marker lines; a type without rules is production code as a whole."""
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in EXAMPLES.items())
+    kinds = "(CASE WHEN path = 'Bash' THEN 'prod' ELSE '{}' END)".format(kind)
+    return f"""WITH f(path, content) AS (VALUES {rows}),
+lines AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS line_no FROM f),
+hits AS (SELECT path, line_no, line, len(regexp_extract_all(line, 'mk_prod_[0-9]+')) AS prod, len(regexp_extract_all(line, 'mk_test_[0-9]+')) AS test FROM lines)
+SELECT path, line_no, line, (CASE WHEN {kinds} = 'prod' THEN prod ELSE test END)::INTEGER AS n_hits FROM hits WHERE CASE WHEN {kinds} = 'prod' THEN prod ELSE test END > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     lines = f"WITH {_lines('documents')}"
     the = "contains(line, 'the')"
@@ -273,7 +303,7 @@ SELECT token, count(*) AS n FROM near WHERE CASE WHEN m < 5 THEN d < 3 ELSE d <
         "fuzzy_words": fuzzy,
         "regex_lines": f"{lines} SELECT doc_id, line_no, line, len(regexp_extract_all(line, 'th(?:er|en)[a-z]+ou'))::INTEGER AS n_hits, strpos(line, regexp_extract(line, 'th(?:er|en)[a-z]+ou'))::INTEGER AS col FROM lines WHERE regexp_matches(line, 'th(?:er|en)[a-z]+ou')",
         "regex_all_matches": f"{lines} SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '[A-Z][a-z]+tion')) AS token FROM lines) GROUP BY token",
-        "pattern_file": f"{lines}, p AS (SELECT DISTINCT regexp_extract(text, '^[^\\n]{{1,24}}') AS p FROM benchmark) SELECT DISTINCT doc_id, line_no, line FROM lines JOIN p ON contains(line, p) WHERE p <> ''",
+        "pattern_file": f"{lines}, p AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS p FROM benchmark) SELECT DISTINCT doc_id, line_no, line FROM lines JOIN p ON contains(line, p) WHERE p <> ''",
         "conversation_search": _hits("conversations", "the"),
         "ctx_code_only": _hits("pages", "class", _html("code")),
         "ctx_comment_only": _hits("pages", "a", _html("comment")),
@@ -287,5 +317,9 @@ SELECT token, count(*) AS n FROM near WHERE CASE WHEN m < 5 THEN d < 3 ELSE d <
         "sem_placeholder_equal": _window_sql("y = 'i' AND y2 = 'i' AND t = t2"),
         "classify_paths": _classified(),
         "kind_filter": f"WITH c AS MATERIALIZED ({_classified()}) SELECT * FROM c WHERE file_kind = 'Config'",
+        "json_render": _json_sql(),
+        "tok_keyword": _keyword_sql(),
+        "test_filter_only": _test_filter_sql("test"),
+        "test_filter_exclude": _test_filter_sql("prod"),
         "type_list": f"SELECT * FROM (VALUES {selectors}) AS t(file_type, file_kind, selector)",
     }
