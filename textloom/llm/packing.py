@@ -81,7 +81,7 @@ def _encoded(tokenizer, end_id):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coder = encoder(tokenizer, 600_000)
+            coder = encoder(tokenizer, 300_000)
             size = max(coder.size, end_id + 1)
             if df is None:
                 df, hashes = np.zeros(size, np.int64), C.mixed(np.arange(1, size + 1, dtype=np.uint64))
