@@ -3,10 +3,8 @@
 Documents become token ids with an end id.  Each is keyed by the least hashes
 of its ids and of its runs of three, so documents that share words come near;
 one range exchange sorts them by key, then by a salt of their place in the
-input, so a key that many documents share is split like any other range.  Least
-hashes are small in long documents; those of more than ``LONG`` ids, which fill
-windows of their own but for their ends, get a random key in place of one that
-would bring them all together.  Each task cuts its sorted run into shards of at most ``DOCS`` documents and about
+input, so a key that many documents share is split like any other range.  Each
+task cuts its sorted run into shards of at most ``DOCS`` documents and about
 ``IDS`` ids, whatever the size of the data, and holds one shard at a time.
 Terms are token ids, so the table of document frequencies over *all* documents
 has at most one row for each id of the vocabulary, and that bounded table is
@@ -41,8 +39,8 @@ from textloom.llm.tokens import default_path, encoder
 WINDOW, K1, B = 1024, 1.2, 0.75
 #: Most documents and about the most ids of a shard; documents from which on a term is scored by the dense product.
 DOCS, IDS, DENSE = 1024, 1 << 20, 24
-#: Bytes of ids that a task packs; ids from which on a document counts as long.
-TASK, LONG = 32 << 20, 4 * WINDOW
+#: Bytes of ids that a task packs.
+TASK = 32 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ENCODED = "doc_id long, key long, salt long, n long, ids binary, df array<long>"
 
@@ -81,7 +79,7 @@ def _encoded(tokenizer, end_id):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coder = encoder(tokenizer, 300_000)
+            coder = encoder(tokenizer, 450_000)
             size = max(coder.size, end_id + 1)
             if df is None:
                 df, hashes = np.zeros(size, np.int64), C.mixed(np.arange(1, size + 1, dtype=np.uint64))
@@ -93,7 +91,6 @@ def _encoded(tokenizer, end_id):
             df += np.bincount(terms_of(ids, lengths, size)[1], minlength=size)
             keys = keys_of(ids, np.cumsum(lengths) - lengths, lengths, hashes)
             salt = C.mixed(np.arange(row, row + len(blobs), dtype=np.uint64) + np.uint64(part << 40)).view(np.int64)
-            keys = np.where(lengths > LONG, C.mixed(~salt.view(np.uint64)).view(np.int64) & np.int64((1 << 63) - 1), keys)
             row += len(blobs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(salt), pa.array(lengths), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.list_(pa.int64()))], names=["doc_id", "key", "salt", "n", "ids", "df"])
         if df is not None:
