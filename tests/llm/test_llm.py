@@ -474,6 +474,15 @@ def test_encoder_on_white_space_and_signs():
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_keeps_lines_apart():
+    """A line's last word and the next line's first are cached each on its own, and a space before a line's end is not taken for one."""
+    e = tokens.Encoder(tokens.default_path())
+    e.encode("one two.\nThree four,\nfive six")
+    assert {"two.", "\nThree", "\nfive"} <= set(e.pieces)
+    for t in ["one two.\nThree four,\nfive", "six \nThree", "six\n Three", "\nThree", "a\n\nThree b\nThree", "a\n", "a\n\n\nb c\r\nd", "é\né \n é"]:
+        assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_decontamination(spark, docs, none):
     for size in range(1, 41):  # whatever the substitutions that are allowed, a seed is left
         window = min(15, size)

@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache.
 
 A byte-level BPE parts a text before a space that stands between two
-characters which are not white space, whatever else the text holds.  So a text
-is the concatenation of such pieces' ids.  A piece parts further into the
+characters which are not white space, whatever else the text holds, and around
+a line's end between two such characters.  So a text is the concatenation of
+such pieces' ids, a line's first word being a piece with the line's end before
+it.  A piece parts further into the
 pre-tokenizer's words, each of which the library's model encodes by itself.  A
 worker encodes a frequent piece or word once; each cache has two generations
 of ``limit`` entries at most and outlives the task.  Texts with the
@@ -71,6 +73,7 @@ class Encoder:
         self.special = [t["content"] for t in said["added_tokens"]]
         self.tokenize, self.code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         self.letters = dict(enumerate(_byte_letters()))
+        self.space = self.letters[32]
         self.words, self.pieces = _Cache(self._word, limit // 4), _Cache(self._piece, limit)
 
     def ids(self, text: str) -> bytes:
@@ -79,32 +82,45 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """One word of the pre-tokenizer."""
-        found = self.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        if word[0] == " " and word[1:].isalpha():
+            return self.pieces[word[1:]]
+        found = self.tokenize(word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters))
         return array(self.code, [t.id for t in found]).tobytes()
 
     def _split(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
 
     def _piece(self, piece: str) -> bytes | None:
-        """A piece and the space before it; None if the text needs the careful way."""
+        """A piece and the space before it, or a line's end and the piece behind it; None if the text needs a more careful way."""
         if piece.isalpha():
-            return self._word(" " + piece)
+            found = self.tokenize(self.space + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)))
+            return array(self.code, [t.id for t in found]).tobytes()
         if piece[-1:] in _ENDS and piece[:-1].isalpha():
             return self.pieces[piece[:-1]] + self.words[piece[-1]]
+        if piece[:1] == "\n":
+            return None if not piece[1:] or piece[1].isspace() or piece[-1].isspace() else self._split(piece)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         return self._split(" " + piece)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.plain or any(s in text for s in self.special):
-            return self.ids(text)
+    def _joined(self, text: str) -> bytes | None:
+        """A text that parts at each of its spaces; None if one stands beside white space."""
         head, *rest = text.split(" ")
         if head and not head[-1].isspace():
             found = list(map(self.pieces.__getitem__, rest))
             if None not in found:
                 return self._split(head) + b"".join(found)
+        return None
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.plain or any(s in text for s in self.special):
+            return self.ids(text)
+        if "\n" in text and (found := self._joined(text.replace("\n", " \n"))) is not None:
+            return found
+        if " \n" not in text and (found := self._joined(text)) is not None:
+            return found
         head, *rest = _BETWEEN.split(text)
         return self._split(head) + b"".join(self.pieces[p] or self._split(" " + p) for p in rest)
 
