@@ -377,6 +377,35 @@ def test_template_group_in_rounds(spark, monkeypatch):
     assert _similar(spark, texts) == want
 
 
+def test_blocks_of_a_large_key(spark, monkeypatch):
+    """A text goes to a key's blocks, not to each pair; every hub meets every member once."""
+    monkeypatch.setattr(simhash, "FAN", 20)
+    rows = [(1, n, n, 90) for n in range(90)] + [(2, n, 0, 3) for n in (5, 6, 7)]
+    members = spark.createDataFrame(rows, "key long, node long, label long, size long")
+    for most in (7, 90):
+        placed = simhash._placed(members, most).collect()
+        assert sum(r.key == 1 for r in placed) <= 2 * 90 * -(-90 // 20)
+        assert sorted(r.node for r in placed if r.key == 2 and r.hub and r.member) == [5, 6, 7]
+        blocks = collections.defaultdict(lambda: ([], []))
+        for r in placed:
+            for side, own in zip(blocks[r.key, r.i, r.j], (r.hub, r.member), strict=True):
+                side += [r.node] * own
+        met = collections.Counter((k, a, b) for (k, *_), (hubs, own) in blocks.items() for a in hubs for b in own)
+        hubs = {(r.key, r.node) for r in placed if r.hub}
+        assert set(met) == {(k, a, n) for k, a in hubs for key, n, *_ in rows if key == k} and set(met.values()) == {1}
+        assert len(hubs) == 93 if most == 90 else len(hubs) > 3
+
+
+def test_alike_by_sets(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    r = random.Random(5)
+    sets = [set(r.sample(range(40), r.randint(20, 40))) for _ in range(50)]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    got = set(zip(*(x.tolist() for x in simhash._alike(arrays[:15], arrays[15:], 0.6)), strict=True))
+    want = {(i, j) for i in range(15) for j in range(35) if len(sets[i] & sets[15 + j]) / len(sets[i] | sets[15 + j]) >= 0.6}
+    assert got == want and 0 < len(want) < 525
+
+
 def test_long_texts_near_the_limit(spark):
     """Pairs of 1500 words just over and just under the similarity: decided on all shingles, not on a sample."""
     r, texts = random.Random(21), []

@@ -32,9 +32,9 @@ from textloom.llm import common as C
 SEGMENTS, HOT, SEED = 16, 64, 42
 WIDTH = 64 // SEGMENTS
 LINKS = "a long, b long"
-#: Of similar_rows: band keys, and least hashes in each; members compared with one hub in a task; hubs of a key in each round.
-BANDS, ROWS, FAN = 20, 4, 256
-HUBS = (1, 16, 256)
+#: Of similar_rows: band keys, and least hashes in each; members, and hubs, that are compared at once; shingles counted at once; hubs of a key in each round.
+BANDS, ROWS, FAN, COLUMNS = 20, 4, 512, 4096
+HUBS = (16, 256)
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -278,8 +278,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return C.mapped(placed.select("a", "member", "node", "text"), _compared(shingle, similarity), LINKS)
 
 
-def _ordered(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _alike(hubs: list, members: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each hub and member whose sets are similar: shared shingles of all pairs by products of matrices, some columns at a time."""
+    sets = hubs + members
+    sizes = np.array([len(s) for s in sets])
+    _, which, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), sizes), often[which] > 1
+    which, owner = (np.cumsum(often > 1) - 1)[which[shared]], owner[shared]
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
+    n, both = int((often > 1).sum()), np.zeros((len(hubs), len(members)))
+    for at in range(0, n, COLUMNS):
+        a, b = np.searchsorted(which, (at, at + COLUMNS))
+        held = np.zeros((len(sets), min(COLUMNS, n - at)), np.float32)
+        held[owner[a:b], which[a:b] - at] = 1
+        both += held[: len(hubs)] @ held[len(hubs) :].T
+    return np.nonzero(both / np.maximum(sizes[: len(hubs), None] + sizes[None, len(hubs) :] - both, 1) >= similarity)
+
+
+def _blocks(shingle, similarity):
+    """A link for each two labels that similar nodes of a block's hubs and members have."""
+
+    def found(rows, cache):
+        grams = {}
+        for *_, node, _, text in rows:
+            if node not in grams:
+                (h,) = C.hashed_words([text.lower() if text else text], cache)
+                grams[node] = _shingles(h, shingle)
+        sides = [[(r[2], r[3]) for r in rows if r[side]] for side in (0, 1)]
+        if not all(sides):
+            return None
+        left, right = _alike(*([grams[node] for node, _ in side] for side in sides), similarity)
+        (a, la), (b, lb) = (np.array(side, np.int64)[at].T for side, at in zip(sides, (left, right), strict=True))
+        own = np.flatnonzero(la != lb)
+        own = own[np.unique(np.stack([la[own], lb[own]]), axis=1, return_index=True)[1]]
+        return _links(a[own], b[own]) if len(own) else None
+
+    def run(batches):
+        cache, block, rows = C.WordHashes(), None, []
+        for batch in batches:
+            for *of, hub, member, node, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != block and rows:
+                    if (links := found(rows, cache)) is not None:
+                        yield links
+                    rows = []
+                block = of
+                rows.append((hub, member, node, label, text))
+        if rows and (links := found(rows, cache)) is not None:
+            yield links
+
+    return run
+
+
+def _placed(members: DataFrame, most: int) -> DataFrame:
+    """key, i, j, hub, member, node and label: a key's hubs and members dealt FAN at a time, each part of hubs beside each part of members.
+
+    Hubs are all nodes of keys of at most ``most``, about so many of the others, by a hash that is the same in each key.
+    """
+    hub = (F.col("size") <= most) | (F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / most)) == 0)
+    marked = members.withColumns({"hub": hub, "part": F.xxhash64("node", F.lit("part")), "columns": F.ceil(F.col("size") / FAN)})
+    marked = marked.join(marked.groupBy("key").agg(F.ceil(F.count_if("hub") / FAN).alias("rows")), "key").where("rows > 0")
+    whole = "rows = 1 AND columns = 1"  # one block: a node that is hub and member goes there once
+    member = f"transform(sequence(0, rows - 1), i -> struct(i AS i, pmod(part, columns) AS j, hub AND {whole} AS hub, true AS member))"
+    other = f"if(hub AND NOT ({whole}), transform(sequence(0, columns - 1), j -> struct(pmod(part, rows) AS i, j AS j, true AS hub, false AS member)), array())"
+    return marked.select("key", F.expr(f"explode(concat({member}, {other}))").alias("at"), "node", "label").select("key", "at.*", "node", "label")
+
+
+def _compared_blocks(members: DataFrame, most: int, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links of hubs and members of a key that are similar; a text goes to a block once, however many it is compared with."""
+    placed = _placed(members, most).join(texts, "node").repartition(C.buckets(texts), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return C.mapped(placed.select("key", "i", "j", "hub", "member", "node", "label", "text"), _blocks(shingle, similarity), LINKS).distinct()
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -289,14 +357,6 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return C.written(named.join(sizes.where("lo < hi").select("key", "size"), "key"), "mixed")
 
 
-def _hubs(mixed: DataFrame, most: int) -> DataFrame:
-    """All nodes of keys of at most ``most``, about so many of the others, by a hash that is the same in each key; one for a key if most is 1."""
-    if most == 1:
-        return mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "label")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("own"))
-    of = F.ceil(F.col("size") / most)
-    return mixed.where((F.col("size") <= most) | (F.pmod(F.xxhash64("node"), of) == 0)).select("key", F.col("node").alias("hub"), F.col("label").alias("own"))
-
-
 def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text) and root, equal in rows of one group, for each row of docs.
 
@@ -308,7 +368,8 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     not yet one component go on, with more hubs a round, until each key is one
     component or all its nodes were hubs.  So large groups of copies cost a
     comparison or two a node, small keys are compared in full, and no task ever
-    holds a group.  Null and empty texts are one node, linked with no other.
+    holds a group; nodes of a key meet in blocks, where each text is read once.
+    Null and empty texts are one node, linked with no other.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
     sketches = C.written(C.mapped(texts, _sketched(shingle), "doc_id long, text_hash long, node long, keys array<long>"), "sketches")
@@ -330,9 +391,7 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         if members.isEmpty():
             break
         most = HUBS[turn] if turn < len(HUBS) else HUBS[-1] * 16 ** (turn + 1 - len(HUBS))
-        hubs = _hubs(members, most)
-        pairs = hubs.join(members, "key").where("own <> label").select(*_ordered("hub", "node")).distinct()
-        links = C.written(links.unionAll(_verified(C.written(pairs, "pairs"), candidates, shingle, similarity)), "links")
+        links = C.written(links.unionAll(_compared_blocks(members, most, candidates, shingle, similarity)), "links")
         members, turn = members.where(F.col("size") > max(2, most)).select("key", "node"), turn + 1
     return C.written(sketches.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root")), "groups")
 
