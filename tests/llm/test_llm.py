@@ -321,6 +321,23 @@ def test_similar_groups(spark, docs, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def test_similar_rows_by_fingerprint(spark, docs):
+    """What SimHash links, near_duplicates or similar_rows, is one group, also where sets of shingles are unlike."""
+    phrase = prose(31, "phrase")
+    rows = [(i, f"{' '.join([phrase] * 40)} {prose(12, f'end {i}')}") for i in range(4)] + [(9, prose(200, "apart"))]
+    df = spark.createDataFrame([*rows, *((i, (prose(9, "start") + " " + t)) for i, t in [(20, prose(300, "x")), (21, prose(300, "x"))])], "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows[:2])]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    root = {r.doc_id: r.root for r in simhash.similar_rows(df).collect()}
+    assert len({root[i] for i in range(4)}) == 1 and root[9] not in {root[0], root[20]} and root[20] == root[21]
+    for table in (df, docs.where("doc_id IS NOT NULL")):
+        roots = collections.defaultdict(set)
+        component = {r.doc_id: r.component_id for r in simhash.near_duplicates(table).collect()}
+        for r in simhash.similar_rows(table).collect():
+            roots[component[r.doc_id]].add(r.root)
+        assert all(len(found) == 1 for found in roots.values())
+
+
 def _jaccard_components(texts, n=5, limit=0.8):
     """Sets of places, by comparing all pairs on all shingles."""
     sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (t.lower().split() for t in texts)]

@@ -208,7 +208,7 @@ def _shingles(h: np.ndarray, shingle: int) -> np.ndarray:
     return np.unique(C.Rolling(h)(min(shingle, len(h)))) if len(h) else h
 
 
-def _sketched(shingle):
+def _sketched(shingle, print_shingle):
     salts = C.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
     def least(sets):
@@ -225,7 +225,9 @@ def _sketched(shingle):
         cache = C.WordHashes()
         for batch in batches:
             nodes, keys, waiting, size = [], [], [], 0
-            for i, h in enumerate(C.hashed_words((t.lower() if t else t for t in batch.column(1).to_pylist()), cache)):
+            texts = batch.column(1).to_pylist()
+            fps = np.array([fingerprint(t, print_shingle) for t in texts], np.uint64).view(np.int64)
+            for i, h in enumerate(C.hashed_words((t.lower() if t else t for t in texts), cache)):
                 grams = _shingles(h, shingle)
                 nodes.append(xxhash.xxh64_intdigest(grams.tobytes()) if len(grams) else 0)
                 keys.append([0])
@@ -239,7 +241,7 @@ def _sketched(shingle):
             if waiting:
                 for (j, _), own in zip(waiting, least([g for _, g in waiting]), strict=True):
                     keys[j] = own
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "fp", "keys"])
 
     return run
 
@@ -350,6 +352,16 @@ def _compared_blocks(members: DataFrame, most: int, texts: DataFrame, shingle: i
     return C.mapped(placed.select("key", "i", "j", "hub", "member", "node", "label", "text"), _blocks(shingle, similarity), LINKS).distinct()
 
 
+def _print_links(sketches: DataFrame, max_bits: int) -> DataFrame:
+    """Links among nodes whose fingerprints the pigeonring filter finds within max_bits; each fingerprint stands by its least node."""
+    prints = sketches.select("node", "fp").distinct()
+    least = C.written(prints.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("nodes")), "distinct")
+    same = prints.join(least.where("nodes > 1"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda side, name: least.select(F.col("fp").alias(side), F.col("least").alias(name))
+    near = linked(least, max_bits).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return same.unionAll(near.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """key, node, label and the key's number of nodes, of keys whose nodes are not all in one component yet."""
     named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -357,33 +369,40 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return C.written(named.join(sizes.where("lo < hi").select("key", "size"), "key"), "mixed")
 
 
-def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, print_shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text) and root, equal in rows of one group, for each row of docs.
 
-    For similarities whose fingerprints differ in more bits than an equal chain
-    can index.  Rows of equal shingle sets are one node.  BANDS keys of ROWS
-    least shingle hashes find candidates (a pair at the limit of 0.8 shares one
-    with probability 0.99997); whole shingle sets decide each link.  First each
-    node is compared with one hub of its keys; then only keys whose nodes are
-    not yet one component go on, with more hubs a round, until each key is one
-    component or all its nodes were hubs.  So large groups of copies cost a
-    comparison or two a node, small keys are compared in full, and no task ever
-    holds a group; nodes of a key meet in blocks, where each text is read once.
-    Null and empty texts are one node, linked with no other.
+    First SimHash: fingerprints of ``print_shingle`` words, as in near_duplicates,
+    link at max_bits or fewer differing bits, found by the pigeonring filter.
+    Pairs at the similarity differ in more bits than an equal chain can index,
+    so links by whole sets of ``shingle`` words are added to those.  Rows of equal
+    shingle sets are one node.  BANDS keys of ROWS least shingle hashes find
+    candidates (a pair at the limit of 0.8 shares one with probability 0.99997);
+    whole shingle sets decide each link.  Keys whose nodes the fingerprints have
+    made one component are done.  In the others each node is compared with one
+    hub of its keys; then only keys whose nodes are not yet one component go on,
+    with more hubs a round, until each key is one component or all its nodes
+    were hubs.  So large groups of copies cost a comparison or two a node, small
+    keys are compared in full, and no task ever holds a group; nodes of a key
+    meet in blocks, where each text is read once.  Null and empty texts are one
+    node, with fingerprint zero.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
-    sketches = C.written(C.mapped(texts, _sketched(shingle), "doc_id long, text_hash long, node long, keys array<long>"), "sketches")
+    sketches = C.written(C.mapped(texts, _sketched(shingle, print_shingle), "doc_id long, text_hash long, node long, fp long, keys array<long>"), "sketches")
+    links = C.written(_print_links(sketches, max_bits), "links")
+    labels = components(links)
     keys = sketches.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key")
-    members = C.written(keys.join(shared, "key").distinct(), "members")
+    members = _mixed(C.written(keys.join(shared, "key").distinct(), "members"), labels)
     met = members.select("node").distinct()
     one = sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).join(met, "node").select(F.col("r.doc_id").alias("i"), F.col("r.text_hash").alias("h"), "node")
     same = texts["doc_id"].eqNullSafe(one["i"]) & (texts["text_hash"] == one["h"])
     candidates = C.written(texts.join(one, same).select("node", "text").dropDuplicates(["node"]), "candidates")
 
-    hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("hub"))).alias("hub"))
-    first = members.join(hub, "key").groupBy("node").agg(F.min("hub").alias("hub")).where("hub.hub <> node").select(F.col("hub.hub").alias("a"), F.col("node").alias("b"))
-    links = C.written(_verified(C.written(first, "pairs"), candidates, shingle, similarity), "links")
+    hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("hub"), F.col("label").alias("own"))).alias("hub"))
+    first = members.join(hub, "key").where("hub.own <> label").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub.hub").alias("a"), F.col("node").alias("b"))
+    links = C.written(links.unionAll(_verified(C.written(first, "pairs"), candidates, shingle, similarity)), "links")
+    members = members.select("key", "node")
     turn = 0
     while True:
         labels = components(links)
