@@ -203,3 +203,38 @@ def test_fuzzy_words_with_accents(spark, tmp_path):
 
     got = {r.token for r in catalog.queries()["fuzzy_words"](spark, str(tmp_path)).collect()}
     assert got == {w for w in words if near(w)} and "treétion" in got
+
+
+def test_spread_follows_the_input(spark, tmp_path, monkeypatch):
+    """A row group is one split's, however many splits there are; what is lexed goes to even shares of the text."""
+    path = str(tmp_path / "pages.parquet")
+    spark.range(2000).selectExpr("id AS page_id", "concat('<a href=\"', sha2(string(id), 512), '\">') AS html").coalesce(1).write.parquet(path)
+    rows = lambda df: [n for n in df.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+    try:
+        table = files.table(spark.read.parquet(path), "html", "Html", "page_id")
+        assert table.rdd.getNumPartitions() > 8 and len(rows(table)) == 1
+        dealt = rows(files.spread(table))
+        assert sum(dealt) == 2000 and len(dealt) == 4 and max(dealt) < 600
+        monkeypatch.setattr(files, "SHARE", 10_000)
+        dealt = rows(files.spread(table))
+        assert sum(dealt) == 2000 and len(dealt) == 28 and max(dealt) < 90
+        grouped = search(files.spread(table), SearchSpec("_ = STR", types="Html", strategy="semantic"))
+        assert grouped.selectExpr("size(chunks) AS n").groupBy("n").count().collect() == [(3, 2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_hits_among_comments_and_lines(spark):
+    """Comments and literals over several lines stand between tokens or are hits; each hit has its type, line and column."""
+    text = 'a /* = "x"\n */ = // y\n\n  "s\n\n t" ; b = "u"\nc = 1 /* "'
+    df = spark.createDataFrame([(text,), ("",), ("/* = */\n",), (None,)], "content string").selectExpr("'C' AS file_type", "content")
+    found = lambda **o: [(r.line_no, [tuple(c) for c in r.chunks]) for r in search(df, SearchSpec(types="C", **o)).orderBy("line_no").collect()]
+    assign = [(1, [("identifier", "a", 1)]), (2, [("operator", "=", 2)]), (4, [("string", '"s\n\n t"', 3)]), (6, [("identifier", "b", 4), ("operator", "=", 6), ("string", '"u"', 8)])]
+    assert found(patterns="_ = STR", strategy="semantic") == assign
+    assert found(patterns=("_ = STR", "= NUM"), strategy="semantic") == [*assign, (7, [("operator", "=", 3), ("number", "1", 5)])]
+    assert found(patterns="=", strategy="token") == [(2, [("operator", "=", 2)]), (6, [("operator", "=", 6)]), (7, [("operator", "=", 3)])]
+    assert found(patterns="ANY ANY ANY ANY ANY ANY ANY ANY ANY ANY ANY", strategy="semantic") == []  # there are ten tokens
+    assert len(found(patterns="ANY ANY ANY ANY ANY ANY ANY ANY ANY ANY", strategy="semantic")) == 5

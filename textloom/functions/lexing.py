@@ -202,36 +202,65 @@ def chunks(line: Column, lang: Language | None) -> Column:
 
 
 MARK = "\x02"
+TOKENS = "array<struct<type:string,text:string,line_no:int,col:int>>"
 
 
-def token_lines(text: Column, lang: Language, strict: bool = False, may=None) -> Column:
-    """Each line's array<struct<type, text, line_no, col>>, comments left out; only tokens that ``may`` lets through, if given.
+def led_regex(lang: Language, strict: bool = False) -> str:
+    """Tokens, each with the comments and white space before it; group 1 is the token, an empty one at the text's end."""
+    # a lone sign at the end is no comment, as in _begins
+    comments = [quote(a) + (r"(?!\z)" if len(a) == 1 and b != "\n" else "") + _until(b) for a, b in lang.comments]
+    return rf"(?s)(?:{'|'.join([*comments, f'[{SPACE}]+'])})*+({token_regex(lang, strict).removeprefix('(?s)')}|\z)"
 
-    Lines are found by marking tokens in the text and splitting it at newlines;
-    a token that spans lines stays on its first, its newlines kept as marks.
-    What stands between tokens follows a mark of its own.
-    """
+
+def type_of(token: Column, lang: Language) -> Column:
+    """The letter of a token's type."""
     start, _ = CHARSETS.get(lang.charset, ("", "")) if lang.charset else ("", "")
-    literals = literal_patterns(lang)
+    kind = F.when(_begins(token, literal_patterns(lang)), "s").when(token.rlike(r"^\.?[0-9]"), "d").when(token.rlike(f"^[{BRACKETS}]"), "b")
+    if start:
+        word = token.rlike(f"^[{start}]")
+        kind = kind.when(word & token.isin(*sorted(lang.natives)), "n") if lang.natives else kind
+        kind = kind.when(word & token.isin(*sorted(lang.keywords)), "k") if lang.keywords else kind
+        kind = kind.when(word, "i")
+    return kind.otherwise("o")
+
+
+def hit_lines(text: Column, lang: Language, strict: bool, hits, alone: bool = False) -> Column:
+    """Each line's array<struct<type, text, line_no, col>> of hits; no lines at all where there is none.
+
+    ``hits`` makes flags of the array of all tokens.  Only hits are typed and
+    placed: they are marked in the text, which is then split at newlines; a token
+    that spans lines stays on its first, its newlines kept as marks.  What stands
+    between hits follows a mark of its own.  ``alone``: no flag depends on other
+    tokens, so comments and white space may stand among them.
+    """
     hide = MARK + "-"
 
-    def mark(s: Column) -> Column:
+    def on_first(s: Column) -> Column:
         lines = F.array_join(F.transform(F.regexp_extract_all(s, F.lit("\n"), F.lit(0)), lambda x: F.concat(x, F.lit(hide))), "")
+        return F.concat(F.replace(s, F.lit("\n"), F.lit("\x03")), lines)
+
+    def blank(s: Column) -> Column:
+        return F.replace(s, F.lit("\n"), F.lit("\n" + hide))
+
+    def shown(lead: Column) -> Column:
+        if not lang.comments:
+            return blank(lead)
+        parts = F.regexp_extract_all(lead, F.lit(token_regex(lang, strict)), F.lit(0))
+        each = F.array_join(F.transform(parts, lambda s: F.when(is_space(s), blank(s)).otherwise(on_first(s))), "")
+        return F.when(lead.contains("\n"), each).otherwise(lead)
+
+    def marked(s: Column) -> Column:
         once = F.replace(s, F.lit("\n"), F.lit("\x03"))
-        kind = F.when(s.rlike(r"^\.?[0-9]"), "d").when(s.rlike(f"^[{BRACKETS}]"), "b")
-        if start:
-            word = s.rlike(f"^[{start}]")
-            kind = kind.when(word & s.isin(*sorted(lang.natives)), "n") if lang.natives else kind
-            kind = kind.when(word & s.isin(*sorted(lang.keywords)), "k") if lang.keywords else kind
-            kind = kind.when(word, "i")
-        plain = F.when(_begins(s, literals), F.concat(F.lit(MARK + "s"), once, F.lit(hide), lines)).otherwise(F.concat(F.lit(MARK), kind.otherwise("o"), s, F.lit(hide)))
-        if may is not None:  # what can't match needs no mark unless it holds a newline
-            plain = F.when(may(s), plain).when(s.contains("\n"), F.concat(once, lines)).otherwise(s)
-        result = F.when(is_space(s), F.replace(s, F.lit("\n"), F.lit("\n" + hide))).otherwise(plain)
-        return F.when(_begins(s, lang.comments), F.concat(once, lines)).otherwise(result)
-
-    parts = F.regexp_extract_all(F.translate(text, "\x02\x03", "  "), F.lit(token_regex(lang, strict)), F.lit(0))
-    marked = F.concat(F.lit(hide), F.array_join(F.transform(parts, mark), ""))
+        lines = F.substring(on_first(s), F.length(s) + 1, F.length(on_first(s)))
+        return F.concat(F.lit(MARK), type_of(s, lang), once, F.lit(hide), lines)
+
+    def text_of(led: Column, tokens: Column, flags: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            token = F.coalesce(F.get(tokens, i), F.lit(""))
+            lead = shown(F.substring(s, F.lit(1), F.length(s) - F.length(token)))
+            return F.when(F.get(flags, i), F.concat(lead, marked(token))).when(s.contains("\n"), F.concat(lead, on_first(token))).otherwise(s)
+
+        return F.concat(F.lit(hide), F.array_join(F.transform(led, part), ""))
 
     def line(row: Column, number: Column) -> Column:
         def lexed(parts: Column) -> Column:
@@ -250,15 +279,23 @@ def token_lines(text: Column, lang: Language, strict: bool = False, may=None) ->
         some = F.filter(F.split(row, MARK, -1), lambda x: F.length(x) > 0)
         return bound(some, lambda parts: F.when(F.exists(parts, lambda p: ~p.startswith("-")), lexed(parts)).otherwise(F.array().cast(TOKENS)))
 
-    return F.transform(F.split(marked, "\n", -1), line)
+    clean, regex = F.translate(text, "\x02\x03", "  "), F.lit(led_regex(lang, strict))
 
+    def text_of_each(parts: Column, flags: Column) -> Column:
+        part = lambda s, i: F.when(F.get(flags, i), marked(s)).when(s.contains("\n"), F.when(is_space(s), blank(s)).otherwise(on_first(s))).otherwise(s)
+        return F.concat(F.lit(hide), F.array_join(F.transform(parts, part), ""))
 
-TOKENS = "array<struct<type:string,text:string,line_no:int,col:int>>"
-
+    def found(tokens: Column, flags: Column) -> Column:
+        marks = text_of_each(tokens, flags) if alone else text_of(F.regexp_extract_all(clean, regex, F.lit(0)), tokens, flags)
+        lines = F.transform(F.split(marks, "\n", -1), line)
+        return F.when(F.exists(flags, lambda f: f), lines).otherwise(F.array().cast(f"array<{TOKENS}>"))
 
-def tokens(text: Column, lang: Language, strict: bool = False) -> Column:
-    """array<struct<type, text, line_no, col>> of a whole text, comments left out."""
-    return F.flatten(token_lines(text, lang, strict))
+    if alone:
+        parts = F.regexp_extract_all(clean, F.lit(token_regex(lang, strict)), F.lit(0))
+        picked = lambda ps: F.zip_with(hits(ps), ps, lambda f, p: f & ~is_space(p) & ~_begins(p, lang.comments))
+        return bound(parts, lambda ps: bound(picked(ps), lambda flags: found(ps, flags)))
+    every = F.filter(F.regexp_extract_all(clean, regex, F.lit(1)), lambda t: t != "")
+    return bound(every, lambda tokens: bound(hits(tokens), lambda flags: found(tokens, flags)))
 
 
 def most_edits(size: int) -> int:

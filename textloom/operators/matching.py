@@ -103,24 +103,20 @@ def _token_chunk(t: Column) -> Column:
     return _chunk(names[t["type"]], t["text"], t["col"])
 
 
-def may_hit(spec: SearchSpec):
-    """A test that no hit of the token strategy fails, before its type is known; None where no such test is known."""
-    if spec.anchor == "edit":
-        return None
-    patterns = [p.lower() if spec.ignore_case else p for p in spec.patterns]
-    return lambda s: _any(_folded(s, spec).contains(F.lit(p)) for p in patterns)
-
-
-def token_hits(tokens: Column, spec: SearchSpec) -> Column:
-    """Tokens of the chosen types (all but brackets if none) that a pattern fits."""
+def token_hits(tokens: Column, spec: SearchSpec, lang: Language) -> Column:
+    """Flags of the tokens of the chosen types (all but brackets if none) that a pattern fits."""
     letters = [L.TYPES[t] for t in spec.token_types or set(L.TYPES) - {"bracket"}]
     patterns = [p.lower() if spec.ignore_case else p for p in spec.patterns]
 
     def fits(t: Column) -> Column:
-        bare = F.when(t["type"] == "s", L.unquoted(t["text"])).otherwise(t["text"])
-        return t["type"].isin(*sorted(letters)) & _any(_anchor_test(_folded(bare, spec), p, spec.anchor) for p in patterns)
+        kind = L.type_of(t, lang)
+        bare = F.when(kind == "s", L.unquoted(t)).otherwise(t)
+        test = kind.isin(*sorted(letters)) & _any(_anchor_test(_folded(bare, spec), p, spec.anchor) for p in patterns)
+        if spec.anchor == "edit":
+            return test
+        return _any(_folded(t, spec).contains(F.lit(p)) for p in patterns) & test  # few tokens get as far as their type
 
-    return F.filter(tokens, fits)
+    return F.transform(tokens, fits)
 
 
 def atoms(pattern: str, lang: Language, strict: bool = False) -> list[tuple[str, str, str]]:
@@ -150,61 +146,53 @@ def atoms(pattern: str, lang: Language, strict: bool = False) -> list[tuple[str,
     return found
 
 
-def _atom_test(t: Column, atom: tuple[str, str, str], spec: SearchSpec) -> Column:
+def _atom_test(t: Column, atom: tuple[str, str, str], spec: SearchSpec, lang: Language) -> Column:
     kind, letter, text = atom
-    value = _folded(t["text"], spec)
+    value, typed = _folded(t, spec), L.type_of(t, lang)
     text = text.lower() if spec.ignore_case and kind == "exact" else text
     if kind == "placeholder":
-        return t["type"] == "i"
+        return typed == "i"
     if kind == "wildcard":
-        number = t["type"] == "d"
+        number = typed == "d"
         return {
             "ANY": F.lit(True),
-            "KEY": t["type"] == "k",
+            "KEY": typed == "k",
             "NUM": number,
-            "OCT": number & t["text"].startswith("0d"),
-            "HEX": number & t["text"].startswith("0x"),
-            "STR": t["type"] == "s",
-            "LIT": t["type"] == "s",
+            "OCT": t.startswith("0d") & number,
+            "HEX": t.startswith("0x") & number,
+            "STR": typed == "s",
+            "LIT": typed == "s",
         }[text]
     if letter == "i":
-        return (t["type"] == "i") & _anchor_test(value, text, spec.anchor)
+        return _anchor_test(value, text, spec.anchor) & (typed == "i")
     if letter == "s":
-        return (t["type"] == "s") & _anchor_test(L.trimmed(L.unquoted(value)), text, spec.anchor)
-    return (t["type"] == letter) & (value == F.lit(text))
+        return (typed == "s") & _anchor_test(L.trimmed(L.unquoted(value)), text, spec.anchor)
+    return (value == F.lit(text)) & (typed == letter)
 
 
-def _windows(tokens: Column, wanted: list[tuple[str, str, str]], spec: SearchSpec) -> Column:
-    """Places of the tokens of the windows that the atoms fit; equal placeholders _0 to _9 stand for equal words."""
+def _windows(tokens: Column, wanted: list[tuple[str, str, str]], spec: SearchSpec, lang: Language) -> Column:
+    """Flags of the tokens of the windows that the atoms fit; equal placeholders _0 to _9 stand for equal words."""
     k, places = len(wanted), {}
     for j, (kind, _, text) in enumerate(wanted):
         if kind == "placeholder" and len(text) == 2 and text[0] == "_":
             places.setdefault(text, []).append(j)
-    # what few tokens pass is tested first
-    rank = {"exact": 0, "wildcard": 1, "placeholder": 2}
-    order = sorted((j for j in range(k) if wanted[j][2] != "ANY" or wanted[j][0] != "wildcard"), key=lambda j: (rank[wanted[j][0]], j))
+    # what few tokens pass is tested first, equal words before types
+    order = [j for j in range(k) if wanted[j][2] != "ANY" or wanted[j][0] != "wildcard"]
 
     def fits(i: Column) -> Column:
-        tests = [_atom_test(F.element_at(tokens, i + j), wanted[j], spec) for j in order]
-        tests += [F.element_at(tokens, i + js[0])["text"] == F.element_at(tokens, i + j)["text"] for js in places.values() for j in js[1:]]
+        of_kind = lambda kind: [_atom_test(F.element_at(tokens, i + j), wanted[j], spec, lang) for j in order if wanted[j][0] == kind]
+        equal = [F.element_at(tokens, i + js[0]) == F.element_at(tokens, i + j) for js in places.values() for j in js[1:]]
+        tests = of_kind("exact") + equal + of_kind("wildcard") + of_kind("placeholder")
         return reduce(Column.__and__, tests) if tests else F.lit(True)
 
-    starts = F.filter(F.sequence(F.lit(1), F.size(tokens) - k + 1), fits)
-    found = F.flatten(F.transform(starts, lambda i: F.sequence(i, i + k - 1)))
-    return F.when(F.size(tokens) >= k, found).otherwise(F.array().cast("array<int>"))
+    starts = F.transform(tokens, lambda t, i: F.when(i + k <= F.size(tokens), fits(i + 1)).otherwise(F.lit(False)))
+    return L.bound(starts, lambda s: F.transform(s, lambda here, i: reduce(Column.__or__, [here, *(F.coalesce(F.get(s, i - j), F.lit(False)) for j in range(1, k))])))
 
 
 def semantic_hits(tokens: Column, spec: SearchSpec, lang: Language) -> Column:
-    """Tokens of all windows that a pattern's atoms fit, overlapping windows included, each token once."""
-    wanted = [a for p in spec.patterns if (a := atoms(p, lang, spec.strict))]
-    if not wanted:
-        return F.slice(tokens, 1, 0)
-
-    def hit(ts: Column) -> Column:
-        both = F.concat(*(_windows(ts, w, spec) for w in wanted)) if len(wanted) > 1 else _windows(ts, wanted[0], spec)
-        return F.transform(F.sort_array(F.array_distinct(both)), lambda i: F.element_at(ts, i))
-
-    return L.bound(tokens, hit)
+    """Flags of the tokens of all windows that a pattern's atoms fit, overlapping windows included."""
+    flags = [_windows(tokens, a, spec, lang) for p in spec.patterns if (a := atoms(p, lang, spec.strict))]
+    return reduce(lambda a, b: F.zip_with(a, b, Column.__or__), flags) if flags else F.array().cast("array<boolean>")
 
 
 def required(spec: SearchSpec, lang: Language) -> list[list[str]]:
@@ -212,20 +200,3 @@ def required(spec: SearchSpec, lang: Language) -> list[list[str]]:
     if spec.anchor == "edit":
         return [[] for _ in spec.patterns]
     return [[text for kind, _, text in atoms(p, lang, spec.strict) if kind == "exact" and text] for p in spec.patterns]
-
-
-def lines_of(hits: Column) -> Column:
-    """array<struct<line_no, chunks>> of token hits, which come in the order of their lines."""
-
-    def grouped(found: Column) -> Column:
-        number = lambda i: F.element_at(found, i)["line_no"]
-        every = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
-        firsts = F.filter(every, lambda i: F.when(i == 1, True).otherwise(number(i) != number(F.greatest(i - 1, F.lit(1)))))
-
-        def cut(fs: Column) -> Column:
-            stop = lambda j: F.when(j + 2 <= F.size(fs), F.element_at(fs, F.least(j + 2, F.size(fs)))).otherwise(F.size(found) + 1)
-            return F.transform(fs, lambda i, j: F.struct(number(i).alias("line_no"), F.transform(F.slice(found, i, stop(j) - i), _token_chunk).alias("chunks")))
-
-        return L.bound(firsts, cut)
-
-    return L.bound(hits, grouped)

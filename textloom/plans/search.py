@@ -103,12 +103,11 @@ def _token_arrays(files: DataFrame, spec: SearchSpec) -> Column:
             return none
         contexts = (spec.contexts or set(L.CONTEXTS)) - {L.COMMENT} or set(L.CONTEXTS)
         text = L.visible(F.col("content"), lang, contexts) if spec.contexts else F.col("content")
-        if spec.strategy == "token":
-            tokens = L.token_lines(text, lang, spec.strict, M.may_hit(spec))
-            lines = F.transform(F.transform(tokens, lambda t: M.token_hits(t, spec)), lambda t, i: F.struct((i + 1).cast("int").alias("line_no"), F.transform(t, M._token_chunk).alias("chunks")))
-            return F.filter(lines, lambda x: F.size(x["chunks"]) > 0).cast(f"array<struct<line_no:int,chunks:{CHUNKS}>>")
-        lines = M.lines_of(M.semantic_hits(L.tokens(text, lang, spec.strict), spec, lang)).cast(f"array<struct<line_no:int,chunks:{CHUNKS}>>")
-        return F.when(_semantic_needs(spec, lang), lines).otherwise(none)
+        picked = M.token_hits if spec.strategy == "token" else M.semantic_hits
+        tokens = L.hit_lines(text, lang, spec.strict, lambda ts: picked(ts, spec, lang), alone=spec.strategy == "token")
+        lines = F.transform(tokens, lambda t, i: F.struct((i + 1).cast("int").alias("line_no"), F.transform(t, M._token_chunk).alias("chunks")))
+        lines = F.filter(lines, lambda x: F.size(x["chunks"]) > 0).cast(f"array<struct<line_no:int,chunks:{CHUNKS}>>")
+        return lines if spec.strategy == "token" else F.when(_semantic_needs(spec, lang), lines).otherwise(none)
 
     found = _by_type(files, spec, hits)
     hit = F.array(F.struct(F.lit("").alias("type"), F.lit("").alias("token"), F.lit(0).alias("col")))

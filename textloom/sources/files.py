@@ -103,7 +103,17 @@ def table(df: DataFrame, content: str, file_type: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.lit(file_type).alias("file_type"), F.col(content).alias("content"))
 
 
+#: Bytes of text that go to one task where they are lexed.
+SHARE = 8 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows to all cores when the scan has fewer splits than cores; lexing costs more than that exchange.  Larger corpora stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    """Deals rows out evenly, to a task for each SHARE of their text and to all cores at least; lexing costs more than that exchange.
+
+    A scan's own splits grow with the input, all of a row group falls to one of them, and repeated texts are stored in few
+    bytes.  So the texts are measured first.
+    """
+    if df.isStreaming:
+        return df
+    size = df.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE)))
